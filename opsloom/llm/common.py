@@ -83,15 +83,15 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np
     return data, at[:-1], at[1:]
 
 
-def pieces(batches: Iterable[pa.RecordBatch], text: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Split batches so that each holds about `size` bytes of the text column (one longer text stays whole)."""
+def pieces(batches: Iterable[pa.RecordBatch], text: str, size: int = BATCH_BYTES, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Split batches so that each holds at most `rows` rows and about `size` bytes of the text column (one longer text stays whole)."""
     for batch in batches:
         lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
         if not len(lengths):
             continue
         begin, total = 0, 0
         for i, n in enumerate(lengths.tolist()):
-            if total and total + n > size:
+            if total and total + n > size or i - begin == rows:
                 yield batch.slice(begin, i - begin)
                 begin, total = i, 0
             total += n
