@@ -29,6 +29,7 @@ FEATURES = [
     ("upper_rate", 0), ("digit_rate", 0), ("mark_rate", 0), ("bar_rate", -1), ("line_words", 0), ("distinct_word_rate", 0), ("stop_rate", 0),
 ]
 SAMPLE_ROWS = 20_000
+KEEP_ABOVE = 0.3
 
 _SYMBOL, _UPPER, _DIGIT, _MARK, _BAR, _STOP = (np.zeros(256, bool) for _ in range(6))
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -200,7 +201,7 @@ def train(stats: DataFrame, labels: DataFrame, label: str = "quality", doc_id: s
     return fit(np.stack(rows["features"].to_numpy()), rows["_y"].to_numpy(float), [d for _, d in FEATURES])
 
 
-def judge(docs: DataFrame, labels: DataFrame, keep_above: float = 0.3, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, keep_above: float = KEEP_ABOVE, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per row of docs: doc_id, the counts, base_failed, score (probability of label 1) and kept."""
     stats = written(statistics(docs, text, doc_id), "statistics")
     model = train(stats, labels, doc_id=doc_id, sample_rows=sample_rows)
@@ -217,3 +218,19 @@ def judge(docs: DataFrame, labels: DataFrame, keep_above: float = 0.3, doc_id: s
     scored = stats.withColumnRenamed(doc_id, "d").mapInArrow(run, f"d {kind}, {_COUNTS}, score double").withColumnRenamed("d", doc_id)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= keep_above))
+
+
+def kept(docs: DataFrame, labels: DataFrame, keep_above: float = KEEP_ABOVE, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs that judge() keeps, all columns. The model's statistics come from a first pass over all texts; the verdicts are made where the texts are, so these are never shuffled."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    model = train(statistics(docs, text, doc_id), labels, doc_id=doc_id, sample_rows=sample_rows)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text):
+            got = text_statistics(batch.column(text))
+            score = model.score(got["features"]) if model is not None else np.ones(batch.num_rows)
+            failed = (got["n_words"] < 50) | (100 * got["n_repeat_words"] > 50 * got["n_words"])
+            yield batch.filter(pa.array(~failed & (score >= keep_above)))
+
+    return docs.mapInArrow(run, docs.schema)
