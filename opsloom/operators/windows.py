@@ -10,6 +10,11 @@ def minute(ts: Column | str) -> Column:
     return F.floor(F.unix_timestamp(F.col(ts) if isinstance(ts, str) else ts) / 60).cast("long")
 
 
+def micros(ts: Column | str) -> Column:
+    """Microseconds since 1970 of either kind of timestamp."""
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
 def rates(records: DataFrame, key: str = "source") -> DataFrame:
     """Rates of 1, 5 and 60 minutes and the trend, anchored at the group's newest minute.
 
@@ -35,7 +40,7 @@ def hourly_total(records: DataFrame, as_of: Column, key: str = "source", hours:
 
 def trailing(records: DataFrame, seconds: int, key: str = "scope", ts: str = "ts") -> DataFrame:
     """records with `recent`: how many of the group stand in the last seconds, this one included."""
-    frame = Window.partitionBy(key).orderBy(F.unix_micros(ts)).rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    frame = Window.partitionBy(key).orderBy(micros(ts)).rangeBetween(-(seconds * 1_000_000 - 1), 0)
     return records.withColumn("recent", F.count("*").over(frame))
 
 
@@ -57,7 +62,7 @@ def quota_view(records: DataFrame, per_window: int, seconds: int = 60, key: str
     return used.withColumn("before", F.lag("used").over(Window.partitionBy(key).orderBy("w")))
 
 
-def disposition(records: DataFrame, policy: Column, sample: Column) -> Column:
+def disposition(policy: Column, sample: Column) -> Column:
     """What becomes of a refused record: sampled ones are kept, the others dropped or spooled by policy."""
     return F.when(F.col("admitted"), "accepted").when((policy == "sample") & sample, "sampled").when(policy == "spool", "spooled").otherwise("dropped")
 
@@ -82,7 +87,7 @@ def stalled(records: DataFrame, value: str, most: int, key: str = "source") -> D
 def episodes(records: DataFrame, gap_seconds: int, key: str = "scope") -> DataFrame:
     """Runs of records no further apart than the gap: key, episode, n, first and last time."""
     order = Window.partitionBy(key).orderBy("ts", "seq")
-    opens = F.coalesce((F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(order) > gap_seconds * 1_000_000).cast("int"), F.lit(1))
+    opens = F.coalesce((micros("ts") - F.lag(micros("ts")).over(order) > gap_seconds * 1_000_000).cast("int"), F.lit(1))
     numbered = records.withColumn("episode", F.sum(opens).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "episode").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
@@ -92,8 +97,8 @@ def held_for(records: DataFrame, condition: Column, seconds: int, key: str = "sc
     order = Window.partitionBy(key).orderBy("seq")
     met = F.coalesce(condition, F.lit(False))
     broken = records.withColumn("met", met).withColumn("run", F.sum((~met).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    since = F.min(F.when(F.col("met"), F.unix_micros("ts"))).over(Window.partitionBy(key, "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return broken.where("met").withColumn("held_us", F.unix_micros("ts") - since).where(F.col("held_us") >= seconds * 1_000_000)
+    since = F.min(F.when(F.col("met"), micros("ts"))).over(Window.partitionBy(key, "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return broken.where("met").withColumn("held_us", micros("ts") - since).where(F.col("held_us") >= seconds * 1_000_000)
 
 
 def capped(records: DataFrame, most: int, key: list[str]) -> DataFrame:

@@ -12,6 +12,19 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 
+def _counts_as_bigint(sql: str) -> str:
+    """DuckDB's count_if is a HUGEINT."""
+    out, at = "", 0
+    while (k := sql.find("count_if(", at)) >= 0:
+        depth, end = 1, k + len("count_if(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out += sql[at:end] + "::BIGINT"
+        at = end
+    return out + sql[at:]
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under a name, with the SQL that gives the same rows."""
 
@@ -20,19 +33,26 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"two queries are named {name}")
         _queries[name] = f
         if sql:
-            _sql[name] = sql
+            _sql[name] = _counts_as_bigint(sql)
         return f
 
     return add
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return _queries
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    """Modules register their queries when they are imported."""
+    from . import stream_queries  # noqa: F401
