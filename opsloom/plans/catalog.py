@@ -55,4 +55,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _load() -> None:
     """Modules register their queries when they are imported."""
-    from . import stream_queries, text_queries  # noqa: F401
+    from . import log_queries, stream_queries, text_queries  # noqa: F401
