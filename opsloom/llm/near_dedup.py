@@ -9,10 +9,10 @@ than all components could need are never drawn, so a document costs one draw a s
 a few hundred more.
 
 Documents of equal words are one node. Bands of ROWS components make buckets. A bucket is
-resolved from centres: its members are compared with a centre, links join components, and
-what still holds several components goes on with twice as many centres, until no pair of
-different components is left uncompared; so a group of copies costs a comparison a member and
-no link is lost. Pairs whose signatures agree far too little are dropped before their texts
+resolved from centres: its members are compared with its smallest member, links join
+components, and what still holds several components goes on with 64 centres, then 256, until
+no pair of different components is left uncompared; so a group of copies costs a comparison a
+member and no link is lost. Pairs whose signatures agree far too little are dropped before their texts
 are read; the others are verified exactly. Members of a centre are dealt over tasks by a
 salt, the centre's text to each of them.
 
@@ -28,7 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Rolling, Words, bound_batches, flat, mix, pieces, powers, written
@@ -39,6 +39,8 @@ SIZE = BANDS * ROWS
 #: Signatures that agree in fewer components than this aren't verified: four standard deviations below the similarity.
 LEAST_AGREEING = math.floor(SIZE * SIMILARITY - 4 * math.sqrt(SIZE * SIMILARITY * (1 - SIMILARITY)))
 MEMBERS_A_TASK = 500
+#: Centres of a bucket in the second round; each further round has four times as many.
+CENTRES = 64
 _HASH_BITS = np.uint64((1 << 54) - 1)
 _BASE = 0xA0761D6478BD642F
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -140,17 +142,19 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 # ---------------------------------------------------------------- components
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
-    """node, label of the nodes of edges (u, v): the smallest node of each connected component, by min-label steps with shortcuts."""
-    both = written(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges")
-    labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("label"))
-    labels = written(labels, f"{name}0")
+    """node, label of the nodes of edges (u, v): the smallest node of each connected component.
+
+    A step takes the smallest label of a node, its neighbours and the node that its label names, in one join and one
+    aggregation; a star whose centre is its smallest node is done at once."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = written(both.unionByName(both.select("u", F.col("u").alias("v"))).distinct(), f"{name}-edges")
+    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")), f"{name}0")
     step = 0
     while True:
         step += 1
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        met = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        after = written(met.join(jump, "low").select("node", F.col("label").alias("old"), F.least("low", "far").alias("label")), f"{name}{step}")
+        near = both.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
+        seen = near.join(labels.withColumnRenamed("node", "v"), "v")
+        after = written(seen.groupBy(F.col("u").alias("node")).agg(F.min("label").alias("label"), F.max(F.when(F.col("u") == F.col("v"), F.col("label"))).alias("old")), f"{name}{step}")
         moved = after.where(F.col("old") != F.col("label")).limit(1).count()
         labels = after.select("node", "label")
         if not moved:
@@ -214,35 +218,31 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple
     found = written(sketches(docs, doc_id, text), "sketches")
     nodes = written(found.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("one"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = members.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("band", "bucket")
-    left = written(members.join(shared, ["band", "bucket"]).withColumn("label", F.col("node")), "members")
-    edges, compared, step = None, None, 0
+    shared = members.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
+    left = written(members.join(shared, ["band", "bucket"]), "members")
+    pairs = written(left.where(F.col("node") != F.col("centre")).select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), "pairs0")
+    left, compared, edges, step = left.where(F.col("node") != F.col("centre")).drop("centre"), pairs, None, 0
     labels = None
     while True:
-        # a component that several members belong to is likely to hold the text that the others were made from
-        spread = left.groupBy("label").agg(F.count("*").alias("size"))
-        ranked = left.join(spread, "label").select("band", "bucket", "label", F.struct(-F.col("size"), "node").alias("rank"))
-        centres = ranked.groupBy("band", "bucket").agg(F.slice(F.sort_array(F.collect_set("rank")), 1, 1 << step).alias("c")) if step else ranked.groupBy("band", "bucket").agg(F.array(F.min("rank")).alias("c"))
-        centres = written(centres.select("band", "bucket", F.explode("c").alias("c")).select("band", "bucket", F.col("c.node").alias("u")), f"centres{step}")
-        own = left.select("band", "bucket", F.col("node").alias("u"), F.col("label").alias("mine"))
-        placed = centres.join(own, ["band", "bucket", "u"])
-        pairs = left.join(placed, ["band", "bucket"]).where(F.col("label") != F.col("mine")).select("u", F.col("node").alias("v")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["u", "v"], "left_anti").join(compared.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
-        pairs = written(pairs, f"pairs{step}")
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        near = written(_agreeing(pairs, nodes), f"near{step}")
-        links = written(_verified(near, nodes, docs, doc_id, text), f"links{step}")
+        links = written(_verified(_agreeing(pairs, nodes), nodes, docs, doc_id, text), f"links{step}")
         edges = links if edges is None else edges.unionByName(links)
         if step == 0 or links.limit(1).count():
             labels = components(edges, f"labels{step}")
-        # centres have met everybody; a bucket goes on if it still holds several components
-        rest = left.drop("label").join(centres.withColumnRenamed("u", "node"), ["band", "bucket", "node"], "left_anti").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        # centres have met everybody; a bucket goes on if what remains belongs to several components
+        rest = left.select("band", "bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = rest.groupBy("band", "bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band", "bucket")
-        left = written(rest.join(mixed, ["band", "bucket"]), f"left{step}")
-        if not left.limit(1).count():
+        rest = written(rest.join(mixed, ["band", "bucket"]), f"left{step}")
+        if not rest.limit(1).count():
             return found, labels
+        # the members of large components come first: one of them is likely to be the text that others were made from
         step += 1
+        sizes = rest.groupBy("label").agg(F.count("*").alias("size"))
+        order = Window.partitionBy("band", "bucket").orderBy(F.col("size").desc(), "node")
+        chosen = written(rest.join(sizes, "label").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= CENTRES << 2 * (step - 1)).select("band", "bucket", F.col("node").alias("u"), F.col("label").alias("mine")), f"centres{step}")
+        met = rest.join(chosen, ["band", "bucket"]).where(F.col("label") != F.col("mine"))
+        pairs = written(met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct().join(compared, ["u", "v"], "left_anti"), f"pairs{step}")
+        compared = compared.unionByName(pairs)
+        left = rest.drop("label").join(chosen.select("band", "bucket", F.col("u").alias("node")), ["band", "bucket", "node"], "left_anti")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
