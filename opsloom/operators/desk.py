@@ -56,7 +56,7 @@ def releases_in_order(records: DataFrame) -> DataFrame:
 
     seen = records.groupBy("release").agg(F.min("seq").alias("first_seq"))
     other = seen.select(F.col("release").alias("o"))
-    pairs = seen.join(F.broadcast(other.limit(10_000)), F.col("release") != F.col("o"), "left")
+    pairs = seen.join(other, F.col("release") != F.col("o"), "left")  # the releases of a project, not its records
     return pairs.groupBy("release", "first_seq").agg(F.count_if(compare_releases("release", "o") > 0).alias("after")).orderBy(F.col("after").desc(), F.col("first_seq").desc())
 
 
