@@ -6,6 +6,7 @@ every step is a numpy pass over a few megabytes instead of a Python loop over wo
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -36,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (local mode)."""
     here = spark.conf.get("spark.checkpoint.dir", None)
     if not here:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         here = "/tmp/checkpoints/opsloom"
     return here.rstrip("/")
@@ -179,3 +180,12 @@ def distinct(keys: np.ndarray) -> np.ndarray:
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 5, is 0; a null id isn't held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def bounded_sample(rows: DataFrame, key: str, n: int, seed: int, *ties: str) -> DataFrame:
+    """The n rows with the smallest hashes of a key. Rows beyond a threshold that leaves a little more than n go first,
+    so what tasks send to be merged doesn't grow with the number of tasks."""
+    place, total = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)), rows.count()
+    if total > n:
+        rows = rows.where(place < int((1 << 30) * min(1.0, (n + 5 * n**0.5 + 10) / total)))
+    return rows.orderBy(place, key, *ties).limit(n)

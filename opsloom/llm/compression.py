@@ -21,10 +21,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, held_out, pieces
+from .common import bound_batches, bounded_sample, held_out, pieces
 
-#: Bytes of a chunk and of a dictionary; chunks of each label that dictionaries are built from; rows for calibration.
-CHUNK, DICTIONARY, SAMPLE_CHUNKS, SAMPLE_ROWS = 2048, 1 << 16, 1200, 6000
+#: Characters of a chunk and bytes of a dictionary; chunks of each label (and of one text) that dictionaries are built from; rows for calibration.
+CHUNK, DICTIONARY, SAMPLE_CHUNKS, CHUNKS_A_TEXT, SAMPLE_ROWS = 2048, 1 << 16, 1200, 2, 6000
 LEVEL = 3
 
 
@@ -79,19 +79,22 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> Model | None:
-    """Dictionaries from SAMPLE_CHUNKS chunks a label, calibration on SAMPLE_ROWS other rows; both the smallest by hash."""
-    known = labels.where(F.col(label).isin(0, 1) & ~held_out(doc_id)).select(F.col(doc_id).alias("_k"), F.col(label).cast("int").alias("_y")).dropDuplicates(["_k"])
-    rows = docs.select(F.col(doc_id).alias("_k"), F.col(text).alias("_t")).where(F.length("_t") > 0).join(known, "_k")
+    """Dictionaries from SAMPLE_CHUNKS chunks a label, calibration on SAMPLE_ROWS other rows; those whose ids have the smallest hashes.
+
+    The sampled ids are at most 2 * SAMPLE_CHUNKS + SAMPLE_ROWS numbers, so they are broadcast and no text is shuffled."""
+    known = labels.where(F.col(label).isin(0, 1) & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("_k")).agg(F.min(F.col(label).cast("int")).alias("_y"))
     for_dictionary = F.pmod(F.xxhash64("_k", F.lit(3)), F.lit(2)) == 0
+    chosen = [bounded_sample(known.where(for_dictionary & (F.col("_y") == y)), "_k", SAMPLE_CHUNKS // CHUNKS_A_TEXT, 5) for y in (1, 0)]
+    texts = docs.select(F.col(doc_id).alias("_k"), F.col(text).alias("_t")).where(F.length("_t") > 0)
     places = F.sequence(F.lit(0), F.floor((F.length("_t") - 1) / CHUNK).cast("int"))
-    chunks = rows.where(for_dictionary).select("_k", "_y", "_t", F.explode(places).alias("_i")).select("_y", F.xxhash64("_k", "_i").alias("_h"), F.substring("_t", F.col("_i") * CHUNK + 1, F.lit(CHUNK)).alias("_c"))
-    raw = []
-    for y in (1, 0):
-        taken = chunks.where(F.col("_y") == y).orderBy("_h", "_c").limit(SAMPLE_CHUNKS).select("_c").toPandas()["_c"]
-        raw.append([c.encode() for c in taken])
+    some = F.slice(F.array_sort(F.transform(places, lambda i: F.struct(F.xxhash64("_k", i).alias("h"), i.alias("i")))), 1, CHUNKS_A_TEXT)
+    cut = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "_k").select("_k", "_y", F.transform(some, lambda s: F.substring(F.col("_t"), s["i"] * CHUNK + 1, F.lit(CHUNK))).alias("_c"))
+    raw: tuple[list[bytes], list[bytes]] = ([], [])
+    for _, y, chunks in sorted(map(tuple, cut.collect())):
+        raw[1 - y].extend(c.encode() for c in chunks)
     if not all(raw):
         return None
-    model = Model(*(_dictionary(samples) for samples in raw))
+    model = Model(*(_dictionary(samples[:SAMPLE_CHUNKS]) for samples in raw))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors()
@@ -99,10 +102,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
             sizes = measure((t.encode() for t in batch.column("_t").to_pylist()), compressors)
             yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_y"), *(pa.array(c) for c in sizes.T)], names=["_k", "_y", "n", "g", "b"])
 
-    kind = rows.schema["_k"].dataType.simpleString()
-    # the smallest hashes of the ids come first, without moving their texts
-    few = known.where(~for_dictionary).orderBy(F.xxhash64("_k", F.lit(5)), "_k").limit(SAMPLE_ROWS)
-    sized = rows.drop("_y").join(few, "_k").select("_k", "_y", "_t").mapInArrow(run, f"_k {kind}, _y int, n double, g double, b double").toPandas().sort_values(["_k", "n", "g", "b"])
+    kind = texts.schema["_k"].dataType.simpleString()
+    few = bounded_sample(known.where(~for_dictionary), "_k", SAMPLE_ROWS, 5)
+    sized = texts.join(F.broadcast(few), "_k").select("_k", "_y", "_t").mapInArrow(run, f"_k {kind}, _y int, n double, g double, b double").toPandas().sort_values(["_k", "n", "g", "b"])
     if sized["_y"].nunique() < 2:
         return model
     model.weights = tuple(calibrate(features(sized[["n", "g", "b"]].to_numpy()), sized["_y"].to_numpy(float)))
