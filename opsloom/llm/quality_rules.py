@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, bound_batches, counted, distinct, held_out, mix, pieces, flat, written
+from .common import Rolling, Words, bound_batches, bounded_sample, counted, distinct, held_out, mix, pieces, flat, written
 
 #: Name and direction of each feature: -1 may never raise the score, 0 is free.
 FEATURES = [
@@ -195,7 +195,8 @@ def fit(x: np.ndarray, y: np.ndarray, direction: list[int], rounds: int = 60, de
 def train(stats: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Trees | None:
     """Trees from at most sample_rows labelled rows outside the held-out fold, the ones with the smallest id hashes."""
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(doc_id)).select(F.col(doc_id).alias("_k"), F.col(label).cast("int").alias("_y"))
-    rows = stats.select(F.col(doc_id).alias("_k"), "features").join(known, "_k").orderBy(F.xxhash64("_k"), "_k", "_y", "features").limit(sample_rows).select("_y", "features").toPandas()
+    rows = stats.select(F.col(doc_id).alias("_k"), "features").join(known, "_k")
+    rows = bounded_sample(rows, "_k", sample_rows, 9, "_y", "features").select("_y", "features").toPandas()
     if rows["_y"].nunique() < 2:
         return None
     return fit(np.stack(rows["features"].to_numpy()), rows["_y"].to_numpy(float), [d for _, d in FEATURES])
