@@ -80,7 +80,7 @@ def log_blocks(spark, d):
     return stateful.assembled(lines, r"^[A-Z]", r"^[a-z]|^$")
 
 
-@query("f30_go_panics")
+@query("f30_go_panics", "SELECT s_suppkey, 'boom ' || s_suppkey AS title, 1::INTEGER AS frames, '/app/w' || s_suppkey || '.go' AS file FROM supplier")
 def go_panics(spark, d):
     """One synthetic panic for each supplier, assembled and parsed."""
     n = F.col("s_suppkey").cast("string")
