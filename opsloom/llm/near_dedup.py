@@ -9,8 +9,8 @@ than all components could need are never drawn, so a document costs one draw a s
 a few hundred more.
 
 Documents of equal words are one node. Bands of ROWS components make buckets. A bucket is
-resolved from centres: its members are compared with its smallest member, links join
-components, and what still holds several components goes on with 64 centres, then 256, until
+resolved from centres: its members are compared with the one that shares most buckets, links join
+components, and what still holds several components goes on with 8 centres, then 32, until
 no pair of different components is left uncompared; so a group of copies costs a comparison a
 member and no link is lost. Pairs whose signatures agree far too little are dropped before their texts
 are read; the others are verified exactly. Members of a centre are dealt over tasks by a
@@ -40,7 +40,7 @@ SIZE = BANDS * ROWS
 LEAST_AGREEING = math.floor(SIZE * SIMILARITY - 4 * math.sqrt(SIZE * SIMILARITY * (1 - SIMILARITY)))
 MEMBERS_A_TASK = 500
 #: Centres of a bucket in the second round; each further round has four times as many.
-CENTRES = 64
+CENTRES = 8
 _HASH_BITS = np.uint64((1 << 54) - 1)
 _BASE = 0xA0761D6478BD642F
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -218,10 +218,16 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple
     found = written(sketches(docs, doc_id, text), "sketches")
     nodes = written(found.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("one"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = members.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
-    left = written(members.join(shared, ["band", "bucket"]), "members")
-    pairs = written(left.where(F.col("node") != F.col("centre")).select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), "pairs0")
-    left, compared, edges, step = left.where(F.col("node") != F.col("centre")).drop("centre"), pairs, None, 0
+    shared = members.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    placed = written(members.join(shared, ["band", "bucket"]), "members")
+    # the text that others were made from shares the largest buckets with them: it has the greatest weight, in every band
+    left = written(placed.join(placed.groupBy("node").agg(F.sum("n").alias("weight")), "node").select("band", "bucket", "node", "weight"), "weights")
+    centre = left.groupBy("band", "bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("c")).select("band", "bucket", F.col("c.node").alias("u"))
+    met = left.join(centre, ["band", "bucket"]).where(F.col("node") != F.col("u"))
+    left = written(met.select("band", "bucket", "node", "weight", "u"), "left")
+    pairs = written(left.select("u", F.col("node").alias("v")).distinct(), "pairs0")
+    compared = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    left, edges, step = left.drop("u"), None, 0
     labels = None
     while True:
         links = written(_verified(_agreeing(pairs, nodes), nodes, docs, doc_id, text), f"links{step}")
@@ -229,16 +235,14 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple
         if step == 0 or links.limit(1).count():
             labels = components(edges, f"labels{step}")
         # centres have met everybody; a bucket goes on if what remains belongs to several components
-        rest = left.select("band", "bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rest = left.select("band", "bucket", "node", "weight").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = rest.groupBy("band", "bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band", "bucket")
         rest = written(rest.join(mixed, ["band", "bucket"]), f"left{step}")
         if not rest.limit(1).count():
             return found, labels
-        # the members of large components come first: one of them is likely to be the text that others were made from
         step += 1
-        sizes = rest.groupBy("label").agg(F.count("*").alias("size"))
-        order = Window.partitionBy("band", "bucket").orderBy(F.col("size").desc(), "node")
-        chosen = written(rest.join(sizes, "label").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= CENTRES << 2 * (step - 1)).select("band", "bucket", F.col("node").alias("u"), F.col("label").alias("mine")), f"centres{step}")
+        order = Window.partitionBy("band", "bucket").orderBy(F.col("weight").desc(), "node")
+        chosen = written(rest.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= CENTRES << 2 * (step - 1)).select("band", "bucket", F.col("node").alias("u"), F.col("label").alias("mine")), f"centres{step}")
         met = rest.join(chosen, ["band", "bucket"]).where(F.col("label") != F.col("mine"))
         pairs = written(met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct().join(compared, ["u", "v"], "left_anti"), f"pairs{step}")
         compared = compared.unionByName(pairs)
