@@ -34,7 +34,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_spans.deduplicated(table(spark, sf_dir, "documents"))
+    return sentence_spans.deduplicated(table(spark, sf_dir, "documents"), both_ends=True)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Substring dedup (5): sliding spans of sentences.
 
 Every sentence starts a span: the shortest run of at least two sentences with at least
-`least_words` words, and also the sentence alone if it has `long_words`. Spans are named by
+`least_words` words, and also the sentence alone if it has `long_words`. With `both_ends` every
+sentence also ends a span, the shortest such run up to it, and a document without any span is
+one: so every repeated run of two or more sentences and `least_words` words is covered by
+repeated spans inside it, and copies of short documents go whole. Spans are named by
 128-bit hashes of their words, so spacing doesn't matter. Of equal spans the one in the
 document with the smallest id stays (the first one within that document); sentences that any
 other one covers are removed.
@@ -64,8 +67,8 @@ class Sentences:
             sums.append(h)
         self._sums = sums
 
-    def spans(self, least_words: int, long_words: int) -> tuple[np.ndarray, ...]:
-        """(first sentence, sentences, hash, hash) of every span."""
+    def spans(self, least_words: int, long_words: int, both_ends: bool = False) -> tuple[np.ndarray, ...]:
+        """(first sentence, sentences, hash, hash) of every span, each once."""
         k, total = np.arange(len(self.end)), len(self.end)
         if not total:
             return k, k, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -74,6 +77,15 @@ class Sentences:
         alone = self.end - self.start >= long_words
         first = np.concatenate([k[inside], k[alone]])
         count = np.concatenate([stop[inside] - k[inside] + 1, np.ones(int(alone.sum()), np.int64)])
+        if both_ends:
+            begin = np.minimum(np.searchsorted(self.start, self.end - least_words, "right") - 1, k - 1)
+            ends = (begin >= 0) & (self.doc[np.maximum(begin, 0)] == self.doc)
+            # a run that starts at its first and ends at its last sentence is one span, not two
+            ends &= ~(inside[begin] & (stop[begin] == k))
+            some = np.bincount(self.doc[first], minlength=len(self.per_doc)) > 0
+            whole = np.flatnonzero((self.per_doc > 0) & ~some)
+            first = np.concatenate([first, begin[ends], self.first[whole]])
+            count = np.concatenate([count, k[ends] - begin[ends] + 1, self.per_doc[whole]])
         a, b = self.start[first], self.end[first + count - 1]
         size = (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         h1, h2 = (mix((s[b] - s[a]) * powers(_BASE_INV, len(s))[a] + size) for s in self._sums)
@@ -89,14 +101,14 @@ def _own_repeats(doc: np.ndarray, h1: np.ndarray, h2: np.ndarray, first: np.ndar
     return out
 
 
-def spans(docs: DataFrame, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def spans(docs: DataFrame, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS, doc_id: str = "doc_id", text: str = "text", both_ends: bool = False) -> DataFrame:
     """h1, h2, doc, k1, k2, first, count: the first of each different span of every document."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "t"):
             s = Sentences(*flat(batch.column("t")))
-            first, count, h1, h2 = s.spans(least_words, long_words)
+            first, count, h1, h2 = s.spans(least_words, long_words, both_ends)
             doc = s.doc[first]
             keep = ~_own_repeats(doc, h1, h2, first)
             first, count, h1, h2, doc = first[keep], count[keep], h1[keep], h2[keep], doc[keep]
@@ -111,9 +123,9 @@ def spans(docs: DataFrame, least_words: int = LEAST_WORDS, long_words: int = LON
     return source.mapInArrow(run, f"h1 long, h2 long, d {kind}, k1 long, k2 long, first int, count int")
 
 
-def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS, doc_id: str = "doc_id", text: str = "text", both_ends: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_sentences, n_removed and the text without the removed sentences."""
-    found = spans(docs, least_words, long_words, doc_id, text)
+    found = spans(docs, least_words, long_words, doc_id, text, both_ends)
     again = found.groupBy("h1", "h2").agg(F.min("d").alias("least"), F.count("*").alias("n")).where("n > 1 and least is not null").drop("n")
     later = F.col("d").isNull() | (F.col("d") > F.col("least"))
     packed = (F.col("first").cast("long") * (1 << 24) + F.col("count")).alias("p")
@@ -124,7 +136,7 @@ def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS, long_words: in
         for batch in pieces(batches, "t"):
             data, starts, ends = flat(batch.column("t"))
             s = Sentences(data, starts, ends)
-            first, count, h1, h2 = s.spans(least_words, long_words)
+            first, count, h1, h2 = s.spans(least_words, long_words, both_ends)
             own = _own_repeats(s.doc[first], h1, h2, first)
             marks = np.zeros(len(s.end) + 1, np.int64)
             np.add.at(marks, first[own], 1)

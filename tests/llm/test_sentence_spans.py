@@ -64,3 +64,48 @@ def test_passages_go_and_clean_text_stays(spark):
         p = passages[r.doc_id // 3]
         assert (p in r.text) == (r.doc_id % 3 == 0)
         assert r.text == texts[r.doc_id] if r.doc_id % 3 == 0 else r.text == texts[r.doc_id].replace(p + "\n", "")
+
+
+def all_runs(rows):
+    """Removed sentences of each row (doc_id, text): every run of two or more sentences with enough words, long sentences and whole short documents."""
+    found = []
+    for i, (_, text) in enumerate(rows):
+        own = sentences(text)
+        runs = [(k, n) for k in range(len(own)) for n in range(k + 1, len(own) + 1) if sum(map(len, own[k:n])) >= (s.LEAST_WORDS if n - k > 1 else s.LONG_WORDS)]
+        found += [(tuple(sum(own[k:n], [])), i, k, n) for k, n in runs or [(0, len(own))] * bool(own)]
+    least = {}
+    for words, i, _, _ in found:
+        least[words] = min(rows[i][0], least.get(words, rows[i][0]))
+    gone, seen = defaultdict(set), set()
+    for words, i, k, n in sorted(found, key=lambda x: (x[1], x[2])):
+        if (words, i) in seen or rows[i][0] > least[words]:
+            gone[i] |= set(range(k, n))
+        seen.add((words, i))
+    return {rows[i][0]: (len(sentences(t)), len(gone[i])) for i, (_, t) in enumerate(rows)}
+
+
+def test_query_removes_every_repeated_run(spark, tmp_path):
+    from opsloom.llm import queries
+
+    line = lambda tag, *sizes: " ".join(" ".join(f"{tag}{k}x{i}" for i in range(n)) + "." for k, n in enumerate(sizes))
+    passages = [line("p", 30, 15, 9), line("q", 14, 14, 14, 10), line("r", 10, 10, 10), line("s", 5, 40, 3, 3)]
+    texts = [f"{line(f'a{i}{k}', 12, 9)}\n{p}\n{line(f'b{i}{k}', 8, 30)}" for k, p in enumerate(passages) for i in range(3)]
+    texts += [f"{line(f'c{i}', 12, 9)}\n{passages[0]}" for i in range(2)] + [line("t", 20, 20, 4)] * 2 + [line("u", 6, 7)] * 2 + [line("v", 30)] * 2 + [line("w", 3), ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op5_sentence_spans(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_sentences, r.n_removed) for r in rows} == all_runs(list(enumerate(texts)))
+    by = {r.doc_id: r.text for r in rows}
+    for i in range(12):
+        p = passages[i // 3]
+        assert by[i] == (texts[i] if i % 3 == 0 else texts[i].replace(p + "\n", ""))
+    assert [by[i] for i in (14, 16, 18)] == texts[14:20:2] and [by[i] for i in (15, 17, 19)] == [""] * 3
+
+
+def test_query_on_the_smallest_tables(spark, tmp_path):
+    from opsloom.llm import queries
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    docs = [(d, t) for d, t in docs if len(sentences(t)) <= 60]  # all runs of the others are many
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_sentences, r.n_removed) for r in queries.op5_sentence_spans(spark, str(tmp_path)).collect()}
+    assert got == all_runs(docs)
