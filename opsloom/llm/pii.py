@@ -8,8 +8,12 @@ mixed-radix number, so no cycle walking is needed: a card keeps its length, sepa
 right check digit, a date becomes another day of the same 400-year cycle in the same notation.
 E-mail addresses, which aren't numbers, become keyed addresses of the reserved domain.
 
+A match that fails may hide a valid value (a card before an expiry date, an IBAN before a word in
+capitals). Texts with such a match are split at a pattern of their own valid values instead,
+which come from candidates of every length at every place.
+
 Edge cases: a null text stays null, an empty one empty; a value that fails its validation is
-left alone; all other columns pass unchanged; repeated rows give repeated rows.
+left alone, but for valid values inside it; all other columns pass unchanged; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -32,6 +36,24 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What must stand before and after a value of these kinds, and its forms, one for each length that
+#: a greedy match may overrun; \\2 because a candidate is the first group.
+_FORMS = {
+    "iban": (r"(?<![A-Za-z0-9])", [rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}}" for n in range(30, 10, -1)], r"(?![A-Za-z0-9])"),
+    "day": (r"(?<![0-9./-])", [r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\2[0-9]{4}"], r"(?![0-9]|[./-][0-9])"),
+    "ip": (r"(?<![0-9]|[0-9]\.)", [r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"], r"(?!\.?[0-9])"),
+    "ssn": (r"(?<![0-9-])", [r"[0-9]{3}-[0-9]{2}-[0-9]{4}"], r"(?![0-9]|-[0-9])"),
+    "card": (r"(?<![0-9])", [rf"[0-9](?:[ -]?[0-9]){{{n}}}" for n in range(18, 11, -1)], r"(?![0-9])"),
+    "phone": (
+        r"(?<![0-9+])",
+        [
+            *(rf"(?:\+[0-9]{{1,3}}[ .-]?)?\([0-9]{{2,4}}\)[ .-]?[0-9]{{3,4}}(?:[ .-]?[0-9]{{3,4}}){{{n}}}" for n in (2, 1)),
+            r"(?:\+[0-9]{1,3}[ .-]?)?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
+            *(rf"\+[0-9]{{1,3}}(?:[ .-]?[0-9]{{2,4}}){{{n}}}" for n in (4, 3, 2)),
+        ],
+        r"(?![0-9])",
+    ),
+}
 _MAYBE = r"@|[0-9][0-9. ()/-]{5,}[0-9]|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"
 
 
@@ -155,17 +177,36 @@ def _replaced(key: str) -> str:
     return _let("tr", tried, "named_struct('kind', array_position(transform(tr, o -> o is not null), true), 'new', coalesce(" + ", ".join(f"tr[{i}]" for i in range(len(KINDS))) + "))")
 
 
+def _pattern(text: str, key: str) -> str:
+    """SQL for a pattern of the e-mail addresses of a text and of exactly those other values in it that are valid.
+
+    Candidates of every form are taken at every place, also inside each other, so none is hidden by
+    one that starts earlier or reaches further and isn't valid."""
+    kinds = [f"'{PATTERNS['email']}'"]
+    for kind, (before, forms, after) in _FORMS.items():
+        found = ", ".join(f"regexp_extract_all({text}, r'{before}(?=({form}){after})', 1)" for form in forms)
+        good = f"filter(array_distinct(flatten(array({found}))), m -> {_MAKE[kind]('m', key)} is not null)"
+        kinds.append(_let("gv", good, f"if(size(gv) = 0, null, concat(r'{before}(?:\\Q', array_join(gv, r'\\E|\\Q'), r'\\E){after}'))"))
+    kinds[0] = "r" + kinds[0]
+    return f"concat_ws('|', {', '.join(kinds)})"
+
+
 def pseudonymised(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, found: str | None = None) -> DataFrame:
     """docs with the text replaced; `found` names a further column for the array of replaced kinds, in order."""
     if not key or "'" in key or "\\" in key:
         raise ValueError("a key is a non-empty text without quotes and backslashes")
     column = F.col(text)
     maybe = F.coalesce(column.rlike(_MAYBE), F.lit(False))
-    gaps = F.when(maybe, F.split(column, _ANY, -1))
-    matches = F.when(maybe, F.regexp_extract_all(column, F.lit(_ANY), F.lit(0)))
-    names = ("_pii_gaps", "_pii_matches", "_pii_made")
-    step = docs.withColumn(names[0], gaps).withColumn(names[1], matches)
-    step = step.withColumn(names[2], F.expr(f"transform({names[1]}, m -> {_replaced(key)})"))
+    names = ("_pii_gaps", "_pii_matches", "_pii_made", "_pii_pattern")
+    step = docs.withColumn(names[1], F.when(maybe, F.regexp_extract_all(column, F.lit(_ANY), F.lit(0))))
+    made = F.expr(f"transform({names[1]}, m -> {_replaced(key)})")
+    step = step.withColumn(names[2], made)
+    # a match that isn't valid may hide values that are: such texts are split at their valid values only
+    step = step.withColumn(names[3], F.expr(f"if(exists({names[2]}, n -> n.new is null), {_pattern(f'`{text}`', key)}, null)"))
+    hidden = F.col(names[3]).isNotNull()
+    step = step.withColumn(names[1], F.when(hidden, F.regexp_extract_all(column, F.col(names[3]), F.lit(0))).otherwise(F.col(names[1])))
+    step = step.withColumn(names[2], F.when(hidden, made).otherwise(F.col(names[2])))
+    step = step.withColumn(names[0], F.when(hidden, F.split(column, F.col(names[3]), -1)).when(maybe, F.split(column, _ANY, -1)))
     joined = F.expr(f"array_join(zip_with({names[0]}, zip_with({names[1]}, {names[2]}, (m, n) -> coalesce(n.new, m)), (g, n) -> concat(g, coalesce(n, ''))), '')")
     out = step.withColumn(text, F.coalesce(joined, column))
     if found:

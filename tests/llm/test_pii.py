@@ -56,6 +56,22 @@ def test_other_numbers_stay(spark):
     assert new == plain and not any(kinds)
 
 
+def test_valid_values_inside_other_numbers_go(spark):
+    card, iban, spaced = "4111 1111 1111 1111", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    cases = [
+        (f"card {card} 12/25", card, "card"), (f"card {card} 123", card, "card"), (f"order 7 {card}, paid", card, "card"), (f"12345 {card} 1", card, "card"), (f"NR12 {card}", card, "card"),
+        ("x 4111-1111-1111-1111-99 x", "4111-1111-1111-1111", "card"), (f"{iban} EUR", iban, "iban"), (f"{spaced} BIC", spaced, "iban"), (f"{spaced} COBADEFFXXX 55", spaced, "iban"), (f"AB12 {spaced} X", spaced, "iban"),
+        ("4 123-45-6789 12345", "123-45-6789", "ssn"), ("7 212-555-0100 123", "212-555-0100", "phone"), ("1 2024-02-29 12300 1", "2024-02-29", "day"), ("+44 20 7946 0958 1234 55", "+44 20 7946 0958", "phone"), ("+1.23.45.67", "1.23.45.67", "ip"),
+    ]
+    new, kinds = made(spark, [t for t, _, _ in cases])
+    for (old, value, kind), text, found in zip(cases, new, kinds, strict=True):
+        assert value not in text and kind in found, (old, text, found)
+    alone, _ = made(spark, [card, iban, spaced])
+    assert new[:2] == [f"card {alone[0]} 12/25", f"card {alone[0]} 123"] and new[6:8] == [f"{alone[1]} EUR", f"{alone[2]} BIC"]
+    both, kinds = made(spark, [f"a@b.example 256.1.1.1 {card} 12/25 and {iban} EUR 10.0.0.1 4111 1111 1111 1112"])
+    assert kinds == [["email", "card", "iban", "ip"]] and "256.1.1.1 " in both[0] and both[0].endswith("4111 1111 1111 1112")
+
+
 def test_permutation_is_keyed_and_one_to_one(spark):
     ips = [f"10.0.{i // 256}.{i % 256}" for i in range(2000)]
     a, _ = made(spark, ips)
