@@ -32,6 +32,12 @@ def message_norm(spark, d):
     return _ascii(table(spark, d, "documents")).select("doc_id", textnorm.message_norm("text").alias("norm"))
 
 
+@query("d10_whole_message_norm")
+def whole_message_norm(spark, d):
+    """Of whole texts; without a twin, as SQL can't cut bytes where a character begins."""
+    return table(spark, d, "documents").select("doc_id", textnorm.message_norm("text").alias("norm"))
+
+
 DISPLAY = _sql_masks("text", [(_TS, "<ts>"), (r"\b\d{6,}\b", "<n>"), (r"(?i)\b(?:pid|tid|thread)[ =:]+(\d+)\b", "pid=<n>"), (r"(?i)\b(?:port|listen)[ =:]+(\d+)\b", "port=<n>"), (_UUID, "<uuid>"), ("[0-9a-fA-F]{8,}", "<h>"), (r"/(?:[A-Za-z0-9._-]*/)*([A-Za-z0-9._-]+)/*", r"\1"), ("/home/[A-Za-z0-9_.-]+", "/home/<user>"), (r"[\t\n\f\r ]+", " ")])
 
 
