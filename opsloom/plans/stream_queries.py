@@ -482,13 +482,13 @@ W = "w AS (SELECT 'w' || seq AS wid, sig, scope, ts AS start_ts, ts + INTERVAL 2
 GAPS = "gp AS (SELECT 'g' || seq AS gid, ts AS from_ts, ts + INTERVAL 30 MINUTE AS to_ts FROM r WHERE kind = 'gap' AND k % 10 = 3)"
 
 
-def window_rows(spark, d):
-    rows = records(spark, d).where("kind = 'event' and k = 7")
+def window_rows(spark, d, which="k = 7"):
+    rows = records(spark, d).where(f"kind = 'event' and {which}")
     return rows.select(F.concat(F.lit("w"), F.col("seq").cast("string")).alias("wid"), "sig", "scope", F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("interval 2 days")).alias("end_ts"))
 
 
-def gap_rows(spark, d):
-    rows = records(spark, d).where("kind = 'gap' and k % 10 = 3")
+def gap_rows(spark, d, which="k % 10 = 3"):
+    rows = records(spark, d).where(f"kind = 'gap' and {which}")
     return rows.select(F.concat(F.lit("g"), F.col("seq").cast("string")).alias("gid"), F.col("ts").alias("from_ts"), (F.col("ts") + F.expr("interval 30 minutes")).alias("to_ts"))
 
 
@@ -497,6 +497,12 @@ def gaps_in_windows(spark, d):
     return verify.overlapping(window_rows(spark, d), gap_rows(spark, d), 6 * 3600).select("wid", "gid")
 
 
+@query("c3_all_gaps_in_windows")
+def all_gaps_in_windows(spark, d):
+    """Every gap in the window of every event."""
+    return verify.overlapping(window_rows(spark, d, "true"), gap_rows(spark, d, "true"), 6 * 3600).select("wid", "gid")
+
+
 @query("c4_events_in_windows", f"WITH {R}, {W} SELECT wid, count(r.seq) AS events FROM w LEFT JOIN r ON r.sig = w.sig AND r.ts BETWEEN start_ts AND end_ts AND r.kind = 'event' GROUP BY 1")
 def events_in_windows(spark, d):
     return verify.events_in(window_rows(spark, d), records(spark, d).where("kind = 'event'")).select("wid", "events")
@@ -514,10 +520,20 @@ def first_canary(spark, d):
     SELECT wid, CASE WHEN canary IS NULL OR coalesce(gaps, 0) > 0 THEN 'invalid' WHEN events > 0 THEN 'failed' ELSE 'passed' END AS verdict FROM c JOIN e USING (wid) LEFT JOIN g USING (wid)""",
 )
 def verdicts(spark, d):
-    w, rows = window_rows(spark, d), records(spark, d)
+    return verdict_rows(spark, d, window_rows(spark, d), gap_rows(spark, d).where("gid like '%1'"))
+
+
+@query("f44_all_verdicts")
+def all_verdicts(spark, d):
+    """The window of every event, against every gap."""
+    return verdict_rows(spark, d, window_rows(spark, d, "true"), gap_rows(spark, d, "true"))
+
+
+def verdict_rows(spark, d, w, gap):
+    rows = records(spark, d)
     canary = verify.first_canary(w, rows.where("kind = 'canary'"), "scope").select("wid", "canary")
     events = verify.events_in(w.withColumn("start_ts", F.col("start_ts") + F.expr("interval 1 microsecond")), rows.where("kind = 'event'")).select("wid", "events")
-    gaps = verify.overlapping(w, gap_rows(spark, d).where("gid like '%1'"), 6 * 3600).groupBy("wid").agg(F.count("*").alias("gaps"))
+    gaps = verify.overlapping(w, gap, 6 * 3600).groupBy("wid").agg(F.count("*").alias("gaps"))
     all_of = canary.join(events, "wid").join(gaps, "wid", "left")
     return all_of.select("wid", verify.verdict(F.col("canary").isNotNull(), F.lit(0), F.coalesce("gaps", F.lit(0)), F.col("events")).alias("verdict"))
 
@@ -587,7 +603,16 @@ def timeline(spark, d):
 
 @query("g7_newest_gaps", f"WITH {R}, {GAPS} SELECT gid, to_ts FROM gp WHERE to_ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20' ORDER BY to_ts DESC, gid LIMIT 30")
 def newest_gaps(spark, d):
-    return gap_rows(spark, d).where(F.col("to_ts").between(F.lit("2024-01-03").cast("timestamp"), now())).orderBy(F.col("to_ts").desc(), "gid").limit(30).select("gid", "to_ts")
+    return newest_of(gap_rows(spark, d))
+
+
+@query("g7_all_newest_gaps")
+def all_newest_gaps(spark, d):
+    return newest_of(gap_rows(spark, d, "true"))
+
+
+def newest_of(gaps):
+    return gaps.where(F.col("to_ts").between(F.lit("2024-01-03").cast("timestamp"), now())).orderBy(F.col("to_ts").desc(), "gid").limit(30).select("gid", "to_ts")
 
 
 @query("g8_page", f"WITH {R}, p AS (SELECT seq, kind FROM r WHERE kind = 'event' AND seq < 700 ORDER BY seq DESC LIMIT 21) SELECT seq, kind, CASE WHEN (SELECT count(*) FROM p) > 20 THEN (SELECT min(seq) FROM (SELECT seq FROM p ORDER BY seq DESC LIMIT 20)) END AS next FROM (SELECT * FROM p ORDER BY seq DESC LIMIT 20)")

@@ -33,3 +33,26 @@ def test_message_norm_of_whole_texts(spark, tmp_path):
     texts = {1: "a" + "é" * 300, 2: "x 0x1f 12\n\n" + "y " * 100 + "77\n\nlast 5", 3: "", 4: "g" * 510 + "€"}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert dict(rows(spark, "d10_whole_message_norm", str(tmp_path))) == {i: normed(t) for i, t in texts.items()}
+
+
+def test_all_gaps_windows_and_verdicts(spark, ledger, tmp_path):
+    gaps = [(f"g{r.seq}", r.ts, r.ts + dt.timedelta(minutes=30)) for r in ledger if r.kind == "gap"]
+    windows = [(f"w{r.seq}", r, r.ts, r.ts + dt.timedelta(days=2)) for r in ledger if r.kind == "event"]
+    at = [g for g in gaps if dt.datetime(2024, 1, 3) <= g[2] <= dt.datetime(2024, 1, 20)]
+    newest = sorted(sorted(at), key=lambda g: g[2], reverse=True)[:30]
+    assert rows(spark, "g7_all_newest_gaps") == [(g, to) for g, _, to in newest]
+    met = {(w, g) for w, _, a, b in windows for g, x, y in gaps if y >= a and x <= b}
+    got = rows(spark, "c3_all_gaps_in_windows")
+    assert len(got) == len(met) and set(got) == met
+    holding, want = {w for w, _ in met}, {}
+    for w, r, a, b in windows:
+        canary = any(x.kind == "canary" and x.scope == r.scope and a <= x.ts < b for x in ledger)
+        events = any(x.kind == "event" and x.sig == r.sig and a < x.ts <= b for x in ledger)
+        want[w] = "invalid" if not canary or w in holding else "failed" if events else "passed"
+    got = rows(spark, "f44_all_verdicts")
+    assert len(got) == len(want) and dict(got) == want
+    at = lambda day, hour: dt.datetime(2024, 1, day, hour)
+    made = [(1, at(5, 0), 1, "error", 1), (2, at(5, 1), 1, "view", 2), (3, at(5, 2), 1, "error", 3), (4, at(10, 0), 2, "error", 4), (5, at(10, 1), 2, "view", 5), (6, at(20, 0), 3, "error", 6), (7, at(20, 1), 3, "view", 8), (8, at(21, 0), 9, "signup", 9)]
+    events = [(i, ts, u, kind, 1.0, f'{{"k": {k}}}') for i, ts, u, kind, k in made]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert dict(rows(spark, "f44_all_verdicts", str(tmp_path))) == {"w2": "failed", "w4": "invalid", "w5": "passed", "w7": "invalid"}
