@@ -56,3 +56,22 @@ def test_all_gaps_windows_and_verdicts(spark, ledger, tmp_path):
     events = [(i, ts, u, kind, 1.0, f'{{"k": {k}}}') for i, ts, u, kind, k in made]
     spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     assert dict(rows(spark, "f44_all_verdicts", str(tmp_path))) == {"w2": "failed", "w4": "invalid", "w5": "passed", "w7": "invalid"}
+
+
+def test_quiet_close_over_all_records(spark, ledger, tmp_path):
+    def closed(found):
+        out = {}
+        for scope in {r.scope for r in found}:
+            own = [r for r in found if r.scope == scope]
+            gap = any(r.kind == "gap" and r.k == 9 for r in own)
+            out[scope] = max(r.ts for r in own) <= dt.datetime(2024, 1, 20) and max(r.k for r in own) > 50 and any(r.kind == "canary" for r in own) and not gap and scope % 3 != 0
+        return out
+
+    got = rows(spark, "f41_all_quiet_close")
+    assert len(got) == len(dict(got)) and dict(got) == closed(ledger)
+    early, late = dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 25)
+    # the 17th of each scope may be closed; scope 1 has a later event, scope 2 a gap, scope 4 nothing else, scope 5 no 17th at all
+    made = [(16, early, 1, "view", 60), (17, late, 1, "click", 60), (33, early, 2, "view", 60), (34, early, 2, "signup", 9), (50, early, 4, "view", 60), (1, early, 5, "view", 60)]
+    events = [(i, ts, u, kind, 1.0, f'{{"k": {k}}}') for i, ts, u, kind, k in made]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert dict(rows(spark, "f41_all_quiet_close", str(tmp_path))) == {1: False, 2: False, 4: True, 5: True}
