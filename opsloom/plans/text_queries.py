@@ -177,6 +177,11 @@ def terms(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.slice(textnorm.corpus_terms("text"), 1, 1), ",").alias("first_term"))
 
 
+@query("d51_all_terms")
+def all_terms(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", textnorm.corpus_terms("text").alias("terms"))
+
+
 @query("d47_unit_names", "SELECT s_suppkey, 'pay-' || s_suppkey || '.service' AS unit, 'a_2d' || s_suppkey AS escaped FROM supplier")
 def unit_names(spark, d):
     n = F.col("s_suppkey").cast("string")

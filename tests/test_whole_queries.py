@@ -75,3 +75,12 @@ def test_quiet_close_over_all_records(spark, ledger, tmp_path):
     events = [(i, ts, u, kind, 1.0, f'{{"k": {k}}}') for i, ts, u, kind, k in made]
     spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     assert dict(rows(spark, "f41_all_quiet_close", str(tmp_path))) == {1: False, 2: False, 4: True, 5: True}
+
+
+def test_all_terms(spark):
+    said = spark.read.parquet(f"{SF}/conversations.parquet").collect()
+    stop = {"with", "from", "this", "that", "error", "failed"}
+    want = [(r.conv_id, r.turn, list(dict.fromkeys(w for w in re.findall("[a-z0-9_]{4,}", (r.text or "").lower()) if w not in stop))[:3]) for r in said]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(rows(spark, "d51_all_terms"), key=key) == sorted(want, key=key)
+    assert any(len(t) == 3 for _, _, t in want)
