@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,18 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where the frame has such a column (upper and lower case are the same to Spark)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 # ---------------------------------------------------------------- Arrow batches
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, starts, ends) of a string or binary column; nulls are empty."""
@@ -128,7 +141,8 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any byte ranges of one array from one prefix sum: equal bytes give equal hashes wherever they stand."""
+    """Hashes of byte ranges of one length from one prefix sum, a polynomial modulo 2**64: cheap enough for every place of a text,
+    but different ranges of some patterns share a value, so only use it where what shares a value is compared afterwards."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
@@ -141,6 +155,78 @@ class Rolling:
         return mix(h + (end - start).astype(_U64) * _U64(0xD6E8FEB86659FD93))
 
 
+#: Bytes of a range from which xxh3 hashes it by itself instead of all ranges eight bytes at a time.
+_LONG = 256
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], _U64)
+
+
+class Ranges:
+    """64-bit hashes of any byte ranges of one array: every eight bytes go through the finaliser together with what came before."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = np.concatenate([data, np.zeros(8, np.uint8)])
+        self.eight = np.ndarray(len(data) + 1, "<u8", self.data, 0, (1,))
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        n = end - start
+        h = mix(n.astype(_U64) * _U64(0xD6E8FEB86659FD93))
+        live, at = np.flatnonzero((n > 0) & (n <= _LONG)), 0
+        while len(live):
+            left = n[live] - at
+            h[live] = mix(h[live] ^ (self.eight[start[live] + at] & _HEAD[np.minimum(left, 8)]))
+            live, at = live[left > 8], at + 8
+        if len(rest := np.flatnonzero(n > _LONG)):
+            raw = memoryview(self.data)
+            h[rest] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]
+        return h
+
+
+_PRIME = _U64((1 << 31) - 1)
+_31 = _U64(31)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1."""
+    x = (x & _PRIME) + (x >> _31)
+    x = (x & _PRIME) + (x >> _31)
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**n modulo 2**31 - 1, kept between calls."""
+    have = _powers.get(-base)
+    if have is None or len(have) <= n:
+        have = np.ones(1, _U64)
+        while len(have) <= max(n, 1 << 14):
+            have = np.concatenate([have, _reduced(have * _U64(pow(base, len(have), int(_PRIME))))])
+        _powers[-base] = have
+    return have
+
+
+#: Bases of the polynomials: any large numbers below the prime.
+_BASES = (1_415_926_535, 1_897_932_384, 626_433_832, 795_028_841)
+
+
+class Runs:
+    """Hashes of any runs of a sequence of hashes, from prefix sums of polynomials modulo the prime 2**31 - 1.
+
+    `width` values a run, each of two polynomials over independent digests of the items: two different runs of n items share
+    one with a probability of about (n / 2**31)**2, whatever their pattern."""
+
+    def __init__(self, items: np.ndarray, width: int = 1):
+        n, self.sums = len(items), []
+        for k, base in enumerate(_BASES[: 2 * width]):
+            total = np.zeros(n + 1, _U64)
+            digest = mix(items ^ _U64((k + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1)) >> _U64(33)
+            np.cumsum(_reduced(digest * _prime_powers(base, n)[:n]), out=total[1:])
+            self.sums.append((total, pow(base, -1, int(_PRIME))))
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        values = [_reduced(_reduced(s[end] - s[start]) * _prime_powers(inverse, len(s))[start]) for s, inverse in self.sums]
+        size = (end - start).astype(_U64) * _U64(0x9E3779B97F4A7C15)
+        return [mix(((a << _31) | b) ^ size) for a, b in zip(values[::2], values[1::2], strict=True)]
+
+
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 

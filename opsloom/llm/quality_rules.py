@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, bound_batches, bounded_sample, counted, distinct, held_out, mix, pieces, flat, written
+from .common import Ranges, Words, bound_batches, bounded_sample, counted, distinct, held_out, mix, pieces, flat, written
 
 #: Name and direction of each feature: -1 may never raise the score, 0 is free.
 FEATURES = [
@@ -44,7 +44,7 @@ _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 def text_statistics(column: pa.Array) -> dict[str, np.ndarray]:
     """Statistics of every text of a column; counts are exact up to 54-bit hashes within one text."""
     data, starts, ends = flat(column)
-    words, hashed, n = Words(data, starts, ends), Rolling(data), len(starts)
+    words, hashed, n = Words(data, starts, ends), Ranges(data), len(starts)
     keep = 64 - max(1, int(n - 1).bit_length())
     doc_key = lambda doc, h: (doc.astype(np.uint64) << np.uint64(keep)) | (h >> np.uint64(64 - keep))
     different = lambda keys: np.bincount((distinct(keys) >> np.uint64(keep)).astype(np.int64), minlength=n)

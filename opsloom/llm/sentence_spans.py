@@ -5,7 +5,7 @@ Every sentence starts a span: the shortest run of at least two sentences with at
 sentence also ends a span, the shortest such run up to it, and a document without any span is
 one: so every repeated run of two or more sentences and `least_words` words is covered by
 repeated spans inside it, and copies of short documents go whole. Spans are named by
-128-bit hashes of their words, so spacing doesn't matter. Of equal spans the one in the
+two 62-bit hashes of their words, so spacing doesn't matter. Of equal spans the one in the
 document with the smallest id stays (the first one within that document); sentences that any
 other one covers are removed.
 
@@ -28,13 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, bound_batches, flat, mix, pieces, powers
+from .common import Ranges, Runs, Words, bound_batches, flat, pieces
 
 LEAST_WORDS, LONG_WORDS = 25, 50
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
-_BASE = 0xC2B2AE3D27D4EB4F
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def doc_key(doc_id: str, text: str) -> list[Column]:
@@ -47,7 +45,7 @@ class Sentences:
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         self.words = words = Words(data, starts, ends)
-        hashed, n = Rolling(data)(words.start, words.end), len(words.start)
+        n = len(words.start)
         last = _STOP[data[words.end - 1]] if n else np.zeros(0, bool)
         feeds = np.flatnonzero(data == 10)
         broken = np.searchsorted(feeds, words.end)
@@ -60,12 +58,7 @@ class Sentences:
         self.doc = words.doc[self.start]
         self.first = np.searchsorted(self.doc, np.arange(len(starts)))
         self.per_doc = np.searchsorted(self.doc, np.arange(len(starts)), "right") - self.first
-        sums = []
-        for seed in (0, 0x5851F42D4C957F2D):
-            h = np.zeros(n + 1, np.uint64)
-            np.cumsum(mix(hashed ^ np.uint64(seed)) * powers(_BASE, n)[:n], out=h[1:])
-            sums.append(h)
-        self._sums = sums
+        self._runs = Runs(Ranges(data)(words.start, words.end), 2)
 
     def spans(self, least_words: int, long_words: int, both_ends: bool = False) -> tuple[np.ndarray, ...]:
         """(first sentence, sentences, hash, hash) of every span, each once."""
@@ -87,8 +80,7 @@ class Sentences:
             first = np.concatenate([first, begin[ends], self.first[whole]])
             count = np.concatenate([count, k[ends] - begin[ends] + 1, self.per_doc[whole]])
         a, b = self.start[first], self.end[first + count - 1]
-        size = (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        h1, h2 = (mix((s[b] - s[a]) * powers(_BASE_INV, len(s))[a] + size) for s in self._sums)
+        h1, h2 = self._runs(a, b)
         return first, count, h1, h2
 
 

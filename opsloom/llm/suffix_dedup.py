@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, bound_batches, flat, mix, pieces, written
+from .common import Ranges, Rolling, bound_batches, flat, mix, pieces, written
 from .sentence_spans import doc_key
 
 LENGTH, SEED, SHALLOW, HOT = 200, 32, 32, 4096
@@ -84,7 +84,7 @@ def fragments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: in
     anchor, doc = anchor[cut], doc[cut]
     return {
         "doc": doc, "at": anchor - starts[doc], "back": anchor - low, "ahead": high + length - anchor,
-        "g": seed_hash[anchor].view(np.int64), "f": mix(hashed(low, high + length) + (anchor - low).astype(np.uint64)).view(np.int64),
+        "g": seed_hash[anchor].view(np.int64), "f": mix(Ranges(data)(low, high + length) + (anchor - low).astype(np.uint64)).view(np.int64),
     }
 
 
