@@ -8,13 +8,18 @@ Two components agree with the probability of the weighted Jaccard similarity. Po
 than all components could need are never drawn, so a document costs one draw a shingle and
 a few hundred more.
 
-Documents of equal words are one node. Bands of ROWS components make buckets. A bucket is
-resolved from centres: its members are compared with the one that shares most buckets, links join
-components, and what still holds several components goes on with 8 centres, then 32, until
-no pair of different components is left uncompared; so a group of copies costs a comparison a
-member and no link is lost. Pairs whose signatures agree far too little are dropped before their texts
-are read; the others are verified exactly. Members of a centre are dealt over tasks by a
-salt, the centre's text to each of them.
+Documents of equal words are one node. Bands of ROWS components make buckets, and each bucket
+belongs to the family of one centre, its member that shares most buckets: the pairs of a bucket
+lie in one family, and a family holds a node once however many bands they share. Every family
+is resolved exactly, by multiset overlaps of whole texts:
+
+* a family of at most CELL nodes and CELL_SHINGLES shingles is one group of a task, which
+  finds all its links and returns a spanning forest of them;
+* in a larger one the members, dealt over tasks by a salt, are first compared with the centre,
+  and links join components. If more than one is left, its nodes are dealt into cells of half
+  that size and every two cells make such a group. No pair is skipped, so no link of a bucket is lost;
+  this last step costs a text a copy for each other cell of its family, and only families of
+  over CELL different texts that their centre doesn't join come to it.
 
 Edge cases: a text of one to four words is a single shingle; null, empty and wordless texts
 are never near anything; documents with the same id and text are one document; a null id
@@ -28,35 +33,33 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, bound_batches, flat, mix, pieces, powers, written
+from .common import Ranges, Runs, Words, bound_batches, dropped, flat, mix, pieces, unused, written
 from .sentence_spans import doc_key
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 SIZE = BANDS * ROWS
-#: Signatures that agree in fewer components than this aren't verified: four standard deviations below the similarity.
-LEAST_AGREEING = math.floor(SIZE * SIMILARITY - 4 * math.sqrt(SIZE * SIMILARITY * (1 - SIMILARITY)))
 MEMBERS_A_TASK = 500
-#: Centres of a bucket in the second round; each further round has four times as many.
-CENTRES = 8
+#: Nodes and shingles of a family that one task resolves at once.
+CELL, CELL_SHINGLES = 1024, 1 << 20
+#: Shingles of more nodes of a group than this are counted by matrix products, the others pair by pair.
+FREQUENT = 48
 _HASH_BITS = np.uint64((1 << 54) - 1)
-_BASE = 0xA0761D6478BD642F
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words, np.ndarray]:
     """(document, 54-bit shingle hash, multiplicity) of a flat batch of up to 1024 texts; the words and their hashes."""
     words = Words(data, starts, ends)
-    hashed, n = Rolling(data)(words.start, words.end), len(words.start)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashed * powers(_BASE, n)[:n], out=sums[1:])
+    hashed, n = Ranges(data)(words.start, words.end), len(words.start)
     first = np.arange(n)
     left = words.first[words.doc] + words.per_doc[words.doc] - first  # words from here to the end of the text
     first = first[(left >= SHINGLE) | (first == words.first[words.doc])]
-    last = np.minimum(first + SHINGLE, words.first[words.doc[first]] + words.per_doc[words.doc[first]])
-    h = mix((sums[last] - sums[first]) * powers(_BASE_INV, n + 1)[first] + (last - first).astype(np.uint64))
+    size = np.minimum(words.first[words.doc[first]] + words.per_doc[words.doc[first]] - first, SHINGLE)
+    h = mix(size.astype(np.uint64))
+    for k in range(SHINGLE):
+        h = np.where(size > k, mix(h ^ hashed[np.minimum(first + k, n - 1)]), h) if n else h
     keys = np.sort((words.doc[first].astype(np.uint64) << np.uint64(54)) | (h & _HASH_BITS))
     head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
     count = np.diff(np.append(head, len(keys)))
@@ -103,11 +106,11 @@ def bag_minhash(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, size:
     return out.reshape(n, size)
 
 
-_SKETCH = "k1 long, k2 long, node binary, bands array<long>, sketch binary"
+_SKETCH = "k1 long, k2 long, node binary, n int, bands array<long>"
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, k1, k2, node (hash of the words), bands, sketch (a byte a component) of every text with words."""
+    """d (doc_id), k1, k2, node (hash of the words), n (shingles) and bands of every text with words."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,25 +118,18 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             data, starts, ends = flat(batch.column("t"))
             doc, h, count, words, hashed = shingles(data, starts, ends)
             n = len(starts)
-            signature = bag_minhash(doc, h, count, n)
-            mixed = mix(signature)
+            mixed = mix(bag_minhash(doc, h, count, n))
             bands = np.zeros((n, BANDS), np.uint64)
             for r in range(ROWS):
                 bands = mix(bands + mixed[:, r::ROWS] + np.uint64(r))
             bands = mix(bands + np.arange(BANDS, dtype=np.uint64))
-            node = np.zeros((n, 2), np.uint64)
-            for j, seed in enumerate((0, 0x589965CC75374CC3)):
-                sums = np.zeros(len(hashed) + 1, np.uint64)
-                np.cumsum(mix(hashed ^ np.uint64(seed)) * powers(_BASE, len(hashed))[: len(hashed)], out=sums[1:])
-                last = words.first + words.per_doc
-                node[:, j] = mix((sums[last] - sums[words.first]) * powers(_BASE_INV, len(sums))[words.first] + words.per_doc.astype(np.uint64))
+            node = np.column_stack(Runs(hashed, 2)(words.first, words.first + words.per_doc))
             keep = pa.array(np.flatnonzero(words.per_doc > 0))
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), n, [None, pa.py_buffer(np.ascontiguousarray(node))]).cast(pa.binary())
-            sketch = np.ascontiguousarray(mixed.astype(np.uint8))
-            small = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIZE), n, [None, pa.py_buffer(sketch)]).cast(pa.binary())
             lists = pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), bands.view(np.int64).ravel())
-            columns = [*(batch.column(c) for c in ("d", "k1", "k2")), raw, lists, small]
-            yield pa.RecordBatch.from_arrays([c.take(keep) for c in columns], names=["d", "k1", "k2", "node", "bands", "sketch"])
+            size = pa.array(np.maximum(words.per_doc - SHINGLE + 1, 1).astype(np.int32))
+            columns = [*(batch.column(c) for c in ("d", "k1", "k2")), raw, size, lists]
+            yield pa.RecordBatch.from_arrays([c.take(keep) for c in columns], names=["d", "k1", "k2", "node", "n", "bands"])
 
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
     source = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), *doc_key(doc_id, text))
@@ -170,83 +166,149 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(least / (a[1].sum() + b[1].sum() - least))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The pairs (u, v) whose texts are similar; u is the centre."""
-    sizes = pairs.groupBy("u").agg(F.ceil(F.count("*") / MEMBERS_A_TASK).cast("int").alias("salts"))
-    member = pairs.join(sizes, "u").select("u", F.col("v").alias("node"), F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
-    centre = sizes.select("u", F.col("u").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    roles = member.unionByName(centre).join(nodes.select("node", "one"), "node").select("one.*", F.struct("u", "node", "salt", "role").alias("r"))
-    held = docs.select(F.col(text).alias("t"), *doc_key(doc_id, text))
-    each = held.join(roles, ["k1", "k2"]).select("r.*", "t")
-    dealt = each.repartition("u", "salt").sortWithinPartitions("u", "salt", "role")
+def forest(bags: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMILARITY, frequent: int = FREQUENT) -> np.ndarray:
+    """For each multiset (hashes, counts) the first one of its component, where every two of at least `similarity` are linked."""
+    m, size = len(bags), np.array([c.sum() for _, c in bags], np.float64)
+    # the k-th occurrence of a shingle is an item of its own, so that multisets become sets
+    row = np.repeat(np.arange(m), size.astype(np.int64))
+    count = np.concatenate([c for _, c in bags])
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    item = np.repeat(np.concatenate([h for h, _ in bags]), count)
+    item = np.where(nth == 0, item, mix(item ^ (nth.astype(np.uint64) << np.uint64(54))))
+    order = np.argsort(item, kind="stable")
+    item, row = item[order], row[order]
+    head = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
+    holders = np.diff(np.append(head, len(item)))
+    both = np.zeros((m, m), np.float32)
+    few = np.repeat((holders > 1) & (holders <= frequent), holders)
+    near_row, near_item = row[few], item[few]
+    for apart in range(1, frequent):
+        same = np.flatnonzero(near_item[apart:] == near_item[:-apart])
+        if not len(same):
+            break
+        np.add.at(both, (near_row[same], near_row[same + apart]), 1)
+    both += both.T
+    often = np.flatnonzero(holders > frequent)
+    for begin in range(0, len(often), 2048):
+        some = often[begin : begin + 2048]
+        held = np.zeros((m, len(some)), np.float32)
+        where = np.concatenate([np.arange(head[k], head[k] + holders[k]) for k in some])
+        held[row[where], np.repeat(np.arange(len(some)), holders[some])] = 1
+        both += held @ held.T
+    linked = both.astype(np.float64) * (1 + similarity) >= similarity * (size[:, None] + size) - 1e-6
+    np.fill_diagonal(linked, True)
+    label = np.arange(m)
+    while True:
+        least = np.where(linked, label, m).min(axis=1)
+        least = np.minimum(least, least[least])
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _bags(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    doc, h, count, *_ = shingles(*flat(batch.column("t")))
+    cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+    return [(h[a:b], count[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _stars(families: DataFrame, held: DataFrame) -> DataFrame:
+    """Links (u, v) between the centres u of families (u, node, members) and their members."""
+    member = families.where("u <> node").select("u", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / MEMBERS_A_TASK)).cast("int").alias("salt"), F.lit(1).alias("role"))
+    salts = F.sequence(F.lit(0), F.ceil(F.col("members") / MEMBERS_A_TASK).cast("int") - 1)
+    centre = families.where("u = node").select("u", "node", F.explode(salts).alias("salt"), F.lit(0).alias("role"))
+    dealt = held.join(member.unionByName(centre), "node").repartition("u", "salt").sortWithinPartitions("u", "salt", "role")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, centre_bag = None, None
-        for batch in batches:
-            for part in pieces([batch], "t"):
-                doc, h, count, *_ = shingles(*flat(part.column("t")))
-                cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                out: list[tuple[bytes, bytes]] = []
-                for i, (u, node, salt, role) in enumerate(zip(*(part.column(c).to_pylist() for c in ("u", "node", "salt", "role")), strict=True)):
-                    bag = (h[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]])
-                    if role == 0:
-                        key, centre_bag = (u, salt), bag
-                    elif key == (u, salt) and overlap(centre_bag, bag) >= SIMILARITY:
-                        out.append((u, node))
-                if out:
-                    u, v = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
-
-    return dealt.mapInArrow(run, "u binary, v binary").distinct()
-
-
-def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose sketches agree in enough components."""
-    a, b = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "uv")
+        for part in pieces(batches, "t"):
+            out: list[tuple[bytes, bytes]] = []
+            for bag, u, node, salt, role in zip(_bags(part), *(part.column(c).to_pylist() for c in ("u", "node", "salt", "role")), strict=True):
+                if role == 0:
+                    key, centre_bag = (u, salt), bag
+                elif key == (u, salt) and overlap(centre_bag, bag) >= SIMILARITY - 1e-9:
+                    out.append((u, node))
+            yield _pairs(out)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                left, right = (flat(batch.column(c))[0].reshape(-1, SIZE) for c in ("su", "sv"))
-                yield batch.select(["u", "v"]).filter(pa.array((left == right).sum(axis=1) >= LEAST_AGREEING))
+    return dealt.select("u", "node", "salt", "role", "t").mapInArrow(run, "u binary, v binary")
+
+
+def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    u, v = zip(*rows, strict=True) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(run, "u binary, v binary")
+
+def _within(families: DataFrame, held: DataFrame, cells: int) -> DataFrame:
+    """Spanning links (u, v) of families (u, node, members, shingles), dealt into `cells` parts of a cell."""
+    parts = F.greatest(F.ceil(F.col("members") * cells / CELL), F.ceil(F.col("shingles") * cells / CELL_SHINGLES), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("node", "u"), F.col("parts")).cast("int")
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != F.col("own")))
+    roles = families.withColumn("parts", parts).withColumn("own", own).select("u", "node", "own", F.explode(others).alias("other"))
+    roles = roles.select("u", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = held.join(roles, "node").repartition("u", "i", "j").sortWithinPartitions("u", "i", "j", "node")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, bags = None, [], []
+
+        def links() -> pa.RecordBatch:
+            first = forest(bags) if len(bags) > 1 else range(len(bags))
+            return _pairs([(nodes[a], v) for a, v in zip(first, nodes, strict=True) if nodes[a] != v])
+
+        for part in pieces(batches, "t"):
+            for bag, node, *group in zip(_bags(part), *(part.column(c).to_pylist() for c in ("node", "u", "i", "j")), strict=True):
+                if group != key:
+                    yield links()
+                    key, nodes, bags = group, [], []
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    bags.append(bag)
+        yield links()
+
+    return dealt.select("u", "node", "i", "j", "t").mapInArrow(run, "u binary, v binary")
+
+
+# ---------------------------------------------------------------- the operator
+def _families(nodes: DataFrame) -> DataFrame:
+    """u, node, members, shingles: the nodes that share a bucket whose centre is u, u itself among them."""
+    placed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    shared = placed.groupBy("band", "bucket").agg(F.count("*").alias("many")).where("many > 1")
+    placed = written(placed.join(shared, ["band", "bucket"]), "placed")
+    # the text that others were made from shares the largest buckets with them: it has the greatest weight, in every band
+    weight = placed.groupBy("node").agg(F.sum("many").alias("weight"))
+    weighed = written(placed.drop("many").join(weight, "node"), "weighed")
+    dropped(placed)
+    centre = weighed.groupBy("band", "bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("c")).select("band", "bucket", F.col("c.node").alias("u"))
+    met = weighed.join(centre, ["band", "bucket"]).select("u", "node").distinct()
+    met = written(met.join(nodes.select("node", "n"), "node"), "met")
+    dropped(weighed)
+    sizes = met.groupBy("u").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    out = written(met.drop("n").join(sizes, "u"), "families")
+    dropped(met)
+    return out
 
 
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(sketch rows with doc_id as d, labels of the nodes that have links)."""
+    """(rows of sketches(), labels of the nodes that have links)."""
     found = written(sketches(docs, doc_id, text), "sketches")
-    nodes = written(found.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("one"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
-    members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = members.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    placed = written(members.join(shared, ["band", "bucket"]), "members")
-    # the text that others were made from shares the largest buckets with them: it has the greatest weight, in every band
-    left = written(placed.join(placed.groupBy("node").agg(F.sum("n").alias("weight")), "node").select("band", "bucket", "node", "weight"), "weights")
-    centre = left.groupBy("band", "bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("c")).select("band", "bucket", F.col("c.node").alias("u"))
-    met = left.join(centre, ["band", "bucket"]).where(F.col("node") != F.col("u"))
-    left = written(met.select("band", "bucket", "node", "weight", "u"), "left")
-    pairs = written(left.select("u", F.col("node").alias("v")).distinct(), "pairs0")
-    compared = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    left, edges, step = left.drop("u"), None, 0
-    labels = None
-    while True:
-        links = written(_verified(_agreeing(pairs, nodes), nodes, docs, doc_id, text), f"links{step}")
-        edges = links if edges is None else edges.unionByName(links)
-        if step == 0 or links.limit(1).count():
-            labels = components(edges, f"labels{step}")
-        # centres have met everybody; a bucket goes on if what remains belongs to several components
-        rest = left.select("band", "bucket", "node", "weight").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = rest.groupBy("band", "bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band", "bucket")
-        rest = written(rest.join(mixed, ["band", "bucket"]), f"left{step}")
-        if not rest.limit(1).count():
-            return found, labels
-        step += 1
-        order = Window.partitionBy("band", "bucket").orderBy(F.col("weight").desc(), "node")
-        chosen = written(rest.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= CENTRES << 2 * (step - 1)).select("band", "bucket", F.col("node").alias("u"), F.col("label").alias("mine")), f"centres{step}")
-        met = rest.join(chosen, ["band", "bucket"]).where(F.col("label") != F.col("mine"))
-        pairs = written(met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct().join(compared, ["u", "v"], "left_anti"), f"pairs{step}")
-        compared = compared.unionByName(pairs)
-        left = rest.drop("label").join(chosen.select("band", "bucket", F.col("u").alias("node")), ["band", "bucket", "node"], "left_anti")
+    nodes = written(found.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    families = _families(nodes)
+    # the only time that texts of all documents move
+    wanted = families.select("node").distinct().join(nodes, "node").select("node", F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2"))
+    held = written(docs.select(F.col(text).alias("t"), *doc_key(doc_id, text)).join(wanted, ["k1", "k2"]).select("node", "t"), "held")
+    dropped(nodes)
+    small = (F.col("members") <= CELL) & (F.col("shingles") <= CELL_SHINGLES)
+    edges = written(_within(families.where(small), held, 1).unionByName(_stars(families.where(~small), held)), "links")
+    labels = components(edges)
+    # a larger family that still has several components is compared in full
+    large = families.where(~small).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = large.groupBy("u").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("u")
+    rest = written(large.join(mixed, "u").select("u", "node", "members", "shingles"), "rest")
+    if rest.limit(1).count():
+        more = written(_within(rest, held, 2), "more")
+        labels = components(edges.unionByName(more))
+    for done in (families, held, rest):
+        dropped(done)
+    return found, labels
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -258,7 +320,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, class_id (the smallest doc_id of its class) and class_size."""
     of = written(classes(docs, doc_id, text), "classes")
-    sizes = of.groupBy("class").agg(F.min("d").alias("class_id"), F.count("*").alias("class_size"))
+    # written, so that the join below has no aggregation in its stage and Spark can split a class of a third of all rows
+    sizes = written(of.groupBy("class").agg(F.min("d").alias("class_id"), F.count("*").alias("class_size")), "sizes")
     worded = of.join(sizes, "class").select(F.col("d").alias(doc_id), "class_id", "class_size")
     empty = docs.where(~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select(doc_id, F.col(doc_id).alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return worded.unionByName(empty)
@@ -267,8 +330,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each class (the one with the smallest id), all columns."""
     of = classes(docs, doc_id, text)
-    first = of.groupBy("class").agg(F.min(F.struct(F.col("d").isNull(), "d", "k1", "k2")).alias("w")).select("w.k1", "w.k2")
-    keyed = docs.select("*", *(k.alias(f"_{n}") for k, n in zip(doc_key(doc_id, text), ("k1", "k2"), strict=True)))
-    first = first.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-    worded = keyed.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")).join(first, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select(docs.columns)
+    k1, k2 = unused(docs, "_k1", "_k2")
+    first = of.groupBy("class").agg(F.min(F.struct(F.col("d").isNull(), "d", "k1", "k2")).alias("w")).select(F.col("w.k1").alias(k1), F.col("w.k2").alias(k2))
+    keyed = docs.select("*", *(k.alias(n) for k, n in zip(doc_key(doc_id, text), (k1, k2), strict=True)))
+    worded = keyed.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")).join(first, [k1, k2]).dropDuplicates([k1, k2]).select(docs.columns)
     return worded.unionByName(docs.where(~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))

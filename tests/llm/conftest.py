@@ -35,3 +35,9 @@ def clashing(awkward):
 @pytest.fixture(scope="session")
 def nothing(spark):
     return spark.createDataFrame([], DOCUMENTS)
+
+
+def thue_morse(a, b, n):
+    """The sequence of n items over a and b that has no square of squares, and its complement: polynomial hashes modulo 2**64 can't tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return [(a, b)[x] for x in bits], [(b, a)[x] for x in bits]

@@ -78,3 +78,68 @@ def test_signature_estimates_weighted_similarity():
     doc, h, count = np.array([0, 0, 1, 1, 1]), np.array([5, 9, 5, 9, 11], np.uint64), np.array([9, 2, 4, 3, 1])
     sizes = np.array([n.bag_minhash(doc, n.mix(h + np.uint64(100 + k)), count, 2, 64) for k in range(60)])
     assert abs((sizes[:, 0] == sizes[:, 1]).mean() - 6 / 13) < 0.03
+
+
+def test_large_families_are_compared_in_full(spark, monkeypatch):
+    """With cells of a few nodes every family goes through stars and pairs of cells."""
+    rows = chained()
+    draw = random.Random(4)
+    base = [f"v{draw.randrange(300)}" for _ in range(300)]
+    for i in range(60):  # some of these resemble each other, but not the centre
+        t = list(base)
+        for k in range(6 * (i % 3)):
+            t[(k * 37 + i % 5) % 300] = f"y{k}"
+        rows.append((800 + i, " ".join(t) + f" tail{i}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for cell in (16, 40):
+        monkeypatch.setattr(n, "CELL", cell)
+        monkeypatch.setattr(n, "MEMBERS_A_TASK", 7)
+        got = {r.doc_id: r.class_id for r in n.groups(docs).collect()}
+        assert [got[d] for d, _ in rows] == want
+
+
+def test_forest_of_multisets():
+    draw = random.Random(6)
+    for frequent in (1, 4, 48):
+        sets = [Counter(draw.choices(range(30), k=draw.randint(1, 60))) for _ in range(60)]
+        for i in range(30):  # near copies, heavier or lighter by a little
+            copy = Counter(sets[i])
+            copy.update(draw.choices(range(40), k=draw.randint(0, 9)))
+            sets.append(copy)
+        keys = np.random.default_rng(1).integers(0, 1 << 54, 40).astype(np.uint64)
+        bags = [(keys[list(c)], np.array(list(c.values()))) for c in sets]
+        parent = list(range(len(sets)))
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i in range(len(sets)):
+            for j in range(i):
+                if sum((sets[i] & sets[j]).values()) * 5 >= 4 * sum((sets[i] | sets[j]).values()):
+                    a, b = sorted((find(i), find(j)))
+                    parent[b] = a
+        assert n.forest(bags, frequent=frequent).tolist() == [find(i) for i in range(len(sets))]
+
+
+def test_recall_of_a_whole_table(spark):
+    """Every link of sf0.01, counted by brute force over an index of shingles, lies within a class."""
+    rows = [(r.doc_id, bag(r.text)) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rows = [(d, b) for d, b in rows if b]
+    holders, shared = {}, Counter()
+    for i, (_, b) in enumerate(rows):
+        for shingle, c in b.items():
+            for j, other in holders.setdefault(shingle, []):
+                shared[j, i] += min(c, other)
+            holders[shingle].append((i, c))
+    size = [sum(b.values()) for _, b in rows]
+    links = [(rows[i][0], rows[j][0]) for (i, j), o in shared.items() if 9 * o >= 4 * (size[i] + size[j])]
+    got = {r.doc_id: r.class_id for r in n.groups(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert len(links) > 100 and sum(got[a] == got[b] for a, b in links) == len(links)
+
+
+def test_columns_named_as_its_own(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4)], "doc_id long, text string, _k1 int, _K2 int")
+    assert [tuple(r) for r in n.one_each(rows).collect()] == [(1, "a b c d e f", 1, 2)]
