@@ -3,8 +3,8 @@
 Positions come from the lengths of matches and of the gaps between them: a text is split at a
 pattern, gaps and matches are exploded, and a running sum gives every start. Parts are then
 joined by interval within their scope (the text, `scope` code points apart at most): running
-extremes over the parts of a text in order of position tell how near the next identifier and
-the next secret are, which is the interval join without its pairs. A weak part (an account
+extremes over the parts of a text in order of position, from either end, name the nearest identifier and
+the nearest secret, which is the interval join without its pairs. A weak part (an account
 name, a bare 40-character key, an endpoint) is reported only if its complements are in scope:
 a weak secret or name needs the other one, an endpoint needs both.
 
@@ -71,22 +71,39 @@ def parts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def spans(docs: DataFrame, scope: int = SCOPE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id and spans, array<struct<start, end, kind>> ordered by start and kind, base kinds and linked weak ones."""
+    """Per row of docs: doc_id and spans, array<struct<start, kind, end, partners>> ordered by start and kind, base kinds and linked weak
+    ones; partners are the identifier and the secret in scope that a part is linked to."""
     of = lambda test: F.col("kind").isin([n for n, k in enumerate(KINDS) if test(k)])
     good = F.coalesce(F.col("ok"), F.lit(False))
     base, identifies, secret = good & of(lambda k: k.name in BASE), good & of(lambda k: k.identifies), good & of(lambda k: k.secret)
-    order = Window.partitionBy("row").orderBy("start", "kind")
-    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    near = lambda test: F.coalesce(F.max(F.when(test, F.col("end"))).over(earlier) >= F.col("start") - scope, F.lit(False)) | F.coalesce(F.min(F.when(test, F.col("start"))).over(later) <= F.col("end") + scope, F.lit(False))
+    # both windows grow from one row to the next, so a text of many parts costs each of them once
+    forward, backward = Window.partitionBy("row").orderBy("start", "kind"), Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind"))
+    earlier, later = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (forward, backward))
+    place = F.struct("end", "start", "kind"), F.struct("start", "end", "kind")
+
+    def nearest(test: Column) -> Column:
+        """The part before that reaches furthest, else the next one, if it lies within the scope."""
+        left, right = F.max(F.when(test, place[0])).over(earlier), F.min(F.when(test, place[1])).over(later)
+        part = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
+        return F.when(left["end"] >= F.col("start") - scope, part(left)).when(right["start"] <= F.col("end") + scope, part(right))
+
     found = parts(docs, doc_id, text)
     covered = F.coalesce(F.max(F.when(base, F.col("end"))).over(earlier) > F.col("start"), F.lit(False)) | F.coalesce(F.min(F.when(base, F.col("start"))).over(later) < F.col("end"), F.lit(False))
     # a weak part under a base part is no complement of anything else either
     found = found.withColumn("weak", good & ~base).withColumn("covered", F.col("weak") & covered)
     live = good & ~F.col("covered")
-    found = found.withColumn("id_near", near(live & identifies)).withColumn("secret_near", near(live & secret))
-    linked = F.when(base, True).when(F.col("covered"), False).when(identifies, F.col("secret_near")).when(secret, F.col("id_near")).otherwise(F.col("id_near") & F.col("secret_near"))
-    span = F.when(good & linked, F.struct(F.col("start").cast("long").alias("start"), "kind", F.col("end").cast("long").alias("end")))
-    return found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(span)).alias("spans"))
+    found = found.withColumn("id_near", nearest(live & identifies)).withColumn("secret_near", nearest(live & secret))
+    has_id, has_secret = F.col("id_near").isNotNull(), F.col("secret_near").isNotNull()
+    linked = F.when(base, True).when(F.col("covered"), False).when(identifies, has_secret).when(secret, has_id).otherwise(has_id & has_secret)
+    partners = F.when(identifies, F.array("secret_near")).when(secret, F.array("id_near")).otherwise(F.array("id_near", "secret_near"))
+    partners = F.filter(partners, lambda x: x.isNotNull())
+    span = F.when(good & linked, F.struct(F.col("start").cast("long").alias("start"), "kind", F.col("end").cast("long").alias("end"), partners.alias("partners")))
+    return found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(span), lambda x, y: _by_place(x, y)).alias("spans"))
+
+
+def _by_place(x: Column, y: Column) -> Column:
+    a, b = (F.struct(z["start"], z["kind"]) for z in (x, y))
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
 
 
 def scan(docs: DataFrame, scope: int = SCOPE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

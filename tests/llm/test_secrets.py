@@ -71,3 +71,15 @@ def test_query(spark):
     rows = {r.doc_id: r for r in op8_secrets(spark, "/root/testdata/sf0.001").collect()}
     for d in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
         assert rows[d.doc_id].base_sha256 == hashlib.sha256(shown(brute(d.text)).encode()).hexdigest()
+
+
+def test_many_parts_and_their_partners(spark):
+    import time
+
+    text = "user=alice token=abcdefgh1 " * 30_000
+    began = time.time()
+    row = s.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_assign == 30_000 and time.time() - began < 60
+    found = s.spans(spark.createDataFrame([(1, "user=alice token=abcdefgh1 https://example.com/x")], "doc_id long, text string")).first().spans
+    names = [(s.KINDS[x.kind].name, [(s.KINDS[p.kind].name, p.start) for p in x.partners]) for x in found]
+    assert names == [("name", [("assign", 11)]), ("assign", [("name", 0)]), ("endpoint", [("name", 0), ("assign", 11)])]
