@@ -65,6 +65,12 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished queries: they stay until the driver's JVM finds that nothing refers to them, and it
+    may not look for hours. Worth a call after each step that moved texts."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened where the frame has such a column (upper and lower case are the same to Spark)."""
     taken = {c.lower() for c in df.columns}

@@ -13,20 +13,27 @@ capitals). Texts with such a match are split at a pattern of their own valid val
 which come from candidates of every length at every place.
 
 Edge cases: a null text stays null, an empty one empty; a value that fails its validation is
-left alone, but for valid values inside it; all other columns pass unchanged; repeated rows give repeated rows.
+left alone, but for valid values inside it; all other columns pass unchanged, whatever their names; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import warnings
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used if the caller passes none; production passes its own secret.
-DEFAULT_KEY = "opsloom"
+from .common import unused
+
+#: The session's setting with the secret (Spark redacts settings of such names), and what stands in for it in demonstrations and tests:
+#: pseudonyms made with that can be reversed by anyone who reads this file.
+SECRET, DEMONSTRATION = "spark.opsloom.pii.secret", "opsloom"
+_SHOWN = "pii-[0-9a-f]{64}"
 ROUNDS = 8
 #: Kinds and their patterns, tried in this order at each place.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?=[\p{L}\p{N}-])[\p{L}\p{N}.-]*(?<!\.)\.\p{L}{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "day": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\1[0-9]{4})(?![0-9]|[./-][0-9])",
     "ip": r"(?<![0-9]|[0-9]\.)[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])",
@@ -102,7 +109,8 @@ def _mod97(text: str) -> str:
 
 
 def _email(m: str, key: str) -> str:
-    return f"concat('u', substr(sha2(concat('{key}|email|', lower({m})), 256), 1, 16), '@example.invalid')"
+    # labels may not be empty; a pattern that says so needs a repeated group, which overflows the stack on long texts
+    return f"if(substring_index({m}, '@', -1) like '%..%', null, concat('u', substr(sha2(concat('{key}|email|', lower({m})), 256), 1, 16), '@example.invalid'))"
 
 
 def _card(m: str, key: str) -> str:
@@ -191,13 +199,31 @@ def _pattern(text: str, key: str) -> str:
     return f"concat_ws('|', {', '.join(kinds)})"
 
 
-def pseudonymised(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, found: str | None = None) -> DataFrame:
-    """docs with the text replaced; `found` names a further column for the array of replaced kinds, in order."""
-    if not key or "'" in key or "\\" in key:
-        raise ValueError("a key is a non-empty text without quotes and backslashes")
+def secret_of(spark: SparkSession) -> str:
+    """The session's secret; without one that of demonstrations, with a warning."""
+    secret = spark.conf.get(SECRET, None)
+    if not secret:
+        warnings.warn(f"{SECRET} isn't set: these pseudonyms are only good for demonstrations", stacklevel=3)
+    return secret or DEMONSTRATION
+
+
+def _hidden_key(spark: SparkSession, secret: str) -> str:
+    """What stands in the plan: a digest of the secret, in a form that Spark is told to redact where it shows plans."""
+    setting = "spark.sql.redaction.string.regex"
+    known = spark.conf.get(setting, None)
+    if not known or _SHOWN not in known:
+        spark.conf.set(setting, f"{known}|{_SHOWN}" if known else _SHOWN)
+    return f"pii-{hashlib.sha256(secret.encode()).hexdigest()}"
+
+
+def pseudonymised(docs: DataFrame, secret: str, text: str = "text", found: str | None = None) -> DataFrame:
+    """docs with the text replaced; `found` names a further column for the array of replaced kinds, in order (it replaces a column of that name)."""
+    if not secret:
+        raise ValueError("pseudonyms need a secret")
+    key = _hidden_key(docs.sparkSession, secret)
     column = F.col(text)
     maybe = F.coalesce(column.rlike(_MAYBE), F.lit(False))
-    names = ("_pii_gaps", "_pii_matches", "_pii_made", "_pii_pattern")
+    names = unused(docs, "_pii_gaps", "_pii_matches", "_pii_made", "_pii_pattern")
     step = docs.withColumn(names[1], F.when(maybe, F.regexp_extract_all(column, F.lit(_ANY), F.lit(0))))
     made = F.expr(f"transform({names[1]}, m -> {_replaced(key)})")
     step = step.withColumn(names[2], made)

@@ -42,7 +42,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), found="kinds").select("doc_id", F.size("kinds").cast("long").alias("n_replaced"), F.array_join("kinds", ",").alias("kinds"), "text")
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.secret_of(spark), found="kinds").select("doc_id", F.size("kinds").cast("long").alias("n_replaced"), F.array_join("kinds", ",").alias("kinds"), "text")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import re
 from datetime import date
 
@@ -10,8 +11,8 @@ def luhn(text):
     return sum(d[0::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])
 
 
-def made(spark, texts, **more):
-    rows = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), found="kinds", **more).orderBy("doc_id").collect()
+def made(spark, texts, secret="secret"):
+    rows = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), secret, found="kinds").orderBy("doc_id").collect()
     return [r.text for r in rows], [r.kinds for r in rows]
 
 
@@ -75,18 +76,80 @@ def test_valid_values_inside_other_numbers_go(spark):
 def test_permutation_is_keyed_and_one_to_one(spark):
     ips = [f"10.0.{i // 256}.{i % 256}" for i in range(2000)]
     a, _ = made(spark, ips)
-    b, _ = made(spark, ips, key="other")
+    b, _ = made(spark, ips, secret="other")
     assert len(set(a)) == len(ips) and sum(x == y for x, y in zip(a, b, strict=True)) == 0
     days = spark.range(146097).select(F.col("id").alias("doc_id"), F.date_add(F.to_date(F.lit("1800-01-01")), F.col("id").cast("int")).cast("string").alias("text"))
-    assert pii.pseudonymised(days).select("text").distinct().count() == 146097
+    assert pii.pseudonymised(days, "secret").select("text").distinct().count() == 146097
 
 
 def test_edges(clashing, nothing):
-    out = pii.pseudonymised(clashing)
+    out = pii.pseudonymised(clashing, "secret")
     assert out.columns == clashing.columns and sorted(map(str, out.collect())) == sorted(map(str, clashing.collect()))
-    assert pii.pseudonymised(nothing).count() == 0
+    assert pii.pseudonymised(nothing, "secret").count() == 0
 
 
 def test_native_plan(spark):
-    plan = pii.pseudonymised(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    plan = pii.pseudonymised(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "secret")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def feistel(secret, kind, left, right, a, b, tweak=""):
+    key = "pii-" + hashlib.sha256(secret.encode()).hexdigest()
+    draw = lambda i, x: int(hashlib.sha256(f"{key}|{kind}|{tweak}|{i}|{x}".encode()).hexdigest()[:15], 16)
+    for i in range(1, 9):
+        if i % 2:
+            left = (left + draw(i, right)) % a
+        else:
+            right = (right + draw(i, left)) % b
+    return left, right
+
+
+def digits_by_hand(secret, kind, text):
+    k = (len(text) + 1) // 2
+    left, right = feistel(secret, kind, int(text[:k]), int(text[k:]), 10**k, 10 ** (len(text) - k), len(text))
+    return f"{left:0{k}}{right:0{len(text) - k}}"
+
+
+def test_values_against_a_network_by_hand(spark):
+    def card(t):
+        body = digits_by_hand("k", "card", t[:-1])
+        return body + str(next(c for c in range(10) if luhn(body + str(c)) % 10 == 0))
+
+    def ip(t):
+        o = [int(x) for x in t.split(".")]
+        left, right = feistel("k", "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        return f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+
+    def iban(t):
+        inner = iter(digits_by_hand("k", "iban", "".join(c for c in t[4:] if c.isdigit())))
+        body = "".join(next(inner) if c.isdigit() else c for c in t[4:])
+        number = "".join(str(int(c, 36)) for c in body + t[:2] + "00")
+        return t[:2] + f"{98 - int(number) % 97:02}" + body
+
+    def day(t):
+        n = (date.fromisoformat(t) - date(1800, 1, 1)).days
+        left, right = feistel("k", "day", n // 773, n % 773, 189, 773)
+        return date.fromordinal(date(1800, 1, 1).toordinal() + left * 773 + right).isoformat()
+
+    phone = lambda t: digits_by_hand("k", "phone", t)
+    cases = [(card, "4111111111111111"), (card, "378282246310005"), (ip, "10.0.200.3"), (ip, "0.0.0.0"), (iban, "DE89370400440532013000"), (iban, "GB82WEST12345698765432"), (day, "2024-02-29"), (day, "1800-01-01"), (day, "2199-12-31")]
+    new, _ = made(spark, [t for _, t in cases] + ["+442079460958"], "k")
+    assert new == [f(t) for f, t in cases] + ["+" + phone("442079460958")]
+
+
+def test_very_long_texts(spark):
+    labels, numbers, at = "a@" + "b." * 100_000 + "example", "4111 " * 50_000, "@" * 200_000
+    new, kinds = made(spark, [labels, at, "x@a..b.example", numbers[:3000]])
+    assert kinds[0] == ["email"] and len(new[0]) < 100 and new[1] == at and new[2] == "x@a..b.example"
+
+
+def test_columns_named_as_its_own(spark):
+    rows = spark.createDataFrame([(1, "10.0.0.1", "x", "y", "z")], "doc_id long, text string, _pii_gaps string, _PII_matches string, _pii_made string")
+    out = pii.pseudonymised(rows, "secret")
+    assert out.columns == rows.columns and out.first()[2:] == ("x", "y", "z")
+
+
+def test_the_secret_is_not_shown(spark):
+    out = pii.pseudonymised(spark.createDataFrame([(1, "10.0.0.1")], "doc_id long, text string"), "hunter2hunter2")
+    shown = spark.sparkContext._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "extended")
+    assert "hunter2" not in shown and not re.search("pii-[0-9a-f]{64}", shown)
