@@ -87,7 +87,7 @@ def write(records: DataFrame, folder: str, level: int = 4) -> list[tuple[str, in
     """Write an archive a partition into the folder (a URI); (path, bytes, records) of the archives that count.
 
     A name holds the attempt, and only names returned by tasks that ended are used, so a lost executor's halves are never read."""
-    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    uri = qualified(records.sparkSession, folder)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(uri)
@@ -96,8 +96,8 @@ def write(records: DataFrame, folder: str, level: int = 4) -> list[tuple[str, in
             for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_digest", "refers_to")), strict=True):
                 if out is None:
                     store.create_dir(top, recursive=True)
-                    path = f"{top}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
-                    out = store.open_output_stream(path, compression=None)
+                    name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
+                    path, out = f"{uri}/{name}", store.open_output_stream(f"{top}/{name}", compression=None)
                 gz = zlib.compressobj(level, zlib.DEFLATED, 31)
                 raw = gz.compress(record(*row)) + gz.flush()
                 out.write(raw)
@@ -109,13 +109,33 @@ def write(records: DataFrame, folder: str, level: int = 4) -> list[tuple[str, in
     return [tuple(r) for r in records.mapInArrow(run, _WRITTEN).collect()]
 
 
+#: What pyarrow calls the stores that Spark's file systems name otherwise.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfs", "abfss": "abfss", "wasbs": "abfss", "gs": "gs", "hdfs": "hdfs", "file": "file"}
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI that pyarrow opens: a path without a scheme belongs to the session's default file system."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    scheme, _, rest = uri.partition(":")
+    if scheme not in _SCHEMES:
+        raise ValueError(f"archives can't be written to a store of the scheme {scheme!r}")
+    return "file://" + rest.removeprefix("//") if scheme == "file" else f"{_SCHEMES[scheme]}:{rest}"
+
+
 class _Bytes:
-    """Bytes of a file from an offset on, read as they are needed."""
+    """Bytes of a file from an offset on, read as they are needed; what is done with can be let go."""
 
     def __init__(self, file, size: int, at: int, ahead: int):
-        self.file, self.size, self.base, self.buffer = file, size, at, b""
+        self.file, self.size, self.base, self.buffer = file, size, at, bytearray()
         self.more(ahead)
 
+    def forget(self, before: int) -> None:
+        """Let go of what stands before an offset of the file."""
+        del self.buffer[: before - self.base]
+        self.base = before
+
     def more(self, n: int = 1 << 20) -> bool:
         at = self.base + len(self.buffer)
         n = min(n, self.size - at)
@@ -131,7 +151,8 @@ def members(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]
     source = _Bytes(file, size, start, min(end, size) - start + len(MAGIC))
     at = start
     while at < end:
-        hit = source.buffer.find(MAGIC, at - source.base)
+        source.forget(at)
+        hit = source.buffer.find(MAGIC)
         if hit < 0 or source.base + hit >= end:
             return
         offset = source.base + hit
@@ -173,7 +194,7 @@ def read(spark: SparkSession, archives: list[tuple[str, int]], split: int = SPLI
         held = 0
         for batch in batches:
             for path, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                store, where = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+                store, where = fs.FileSystem.from_uri(path)
                 with store.open_input_file(where) as file:
                     for offset, raw in members(file, size, start, start + split):
                         rows.append(parse(raw) | {"path": path, "offset": offset})
