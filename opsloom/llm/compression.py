@@ -89,6 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
     places = F.sequence(F.lit(0), F.floor((F.length("_t") - 1) / CHUNK).cast("int"))
     some = F.slice(F.array_sort(F.transform(places, lambda i: F.struct(F.xxhash64("_k", i).alias("h"), i.alias("i")))), 1, CHUNKS_A_TEXT)
     cut = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "_k").select("_k", "_y", F.transform(some, lambda s: F.substring(F.col("_t"), s["i"] * CHUNK + 1, F.lit(CHUNK))).alias("_c"))
+    cut = cut.groupBy("_k", "_y").agg(F.min("_c").alias("_c"))  # an id that many rows have counts once, like any other
     raw: tuple[list[bytes], list[bytes]] = ([], [])
     for _, y, chunks in sorted(map(tuple, cut.collect())):
         raw[1 - y].extend(c.encode() for c in chunks)
@@ -104,7 +105,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
 
     kind = texts.schema["_k"].dataType.simpleString()
     few = bounded_sample(known.where(~for_dictionary), "_k", SAMPLE_ROWS, 5)
-    sized = texts.join(F.broadcast(few), "_k").select("_k", "_y", "_t").mapInArrow(run, f"_k {kind}, _y int, n double, g double, b double").toPandas().sort_values(["_k", "n", "g", "b"])
+    sized = texts.join(F.broadcast(few), "_k").select("_k", "_y", "_t").mapInArrow(run, f"_k {kind}, _y int, n double, g double, b double")
+    sized = sized.groupBy("_k", "_y").agg(F.min(F.struct("n", "g", "b")).alias("s")).select("_k", "_y", "s.*").toPandas().sort_values("_k")
     if sized["_y"].nunique() < 2:
         return model
     model.weights = tuple(calibrate(features(sized[["n", "g", "b"]].to_numpy()), sized["_y"].to_numpy(float)))
