@@ -192,16 +192,35 @@ def fit(x: np.ndarray, y: np.ndarray, direction: list[int], rounds: int = 60, de
     return Trees(np.array(f, np.int64), np.array(t, float), np.array(l, np.int64), np.array(r, np.int64), np.array(v, float), np.array(roots, np.int64), depth, base)
 
 
-def train(stats: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Trees | None:
-    """Trees from at most sample_rows labelled rows outside the held-out fold, the ones with the smallest id hashes."""
-    known = labels.where(F.col(label).isin(0, 1) & ~held_out(doc_id)).select(F.col(doc_id).alias("_k"), F.col(label).cast("int").alias("_y"))
-    rows = stats.select(F.col(doc_id).alias("_k"), "features").join(known, "_k")
-    rows = bounded_sample(rows, "_k", sample_rows, 9, "_y", "features").select("_y", "features").toPandas()
+def _known(labels: DataFrame, label: str, doc_id: str) -> DataFrame:
+    """_k, _y: labelled ids outside the held-out fold, each once."""
+    known = labels.where(F.col(label).isin(0, 1) & ~held_out(doc_id))
+    return known.groupBy(F.col(doc_id).alias("_k")).agg(F.min(F.col(label).cast("int")).alias("_y"))
+
+
+def _fitted(rows: DataFrame) -> Trees | None:
+    """Trees from a bounded table of _y and features."""
+    rows = rows.select("_y", "features").toPandas()
     if rows["_y"].nunique() < 2:
         return None
     return fit(np.stack(rows["features"].to_numpy()), rows["_y"].to_numpy(float), [d for _, d in FEATURES])
 
 
+def train(stats: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Trees | None:
+    """Trees from at most sample_rows labelled rows outside the held-out fold, the ones with the smallest id hashes."""
+    rows = stats.select(F.col(doc_id).alias("_k"), "features").join(_known(labels, label, doc_id), "_k")
+    return _fitted(bounded_sample(rows, "_k", sample_rows, 9, "_y", "features"))
+
+
+def train_on_texts(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Trees | None:
+    """The same from texts whose statistics aren't known: the ids are sampled first and broadcast (sample_rows of them at most),
+    so only their texts are measured. Labels of ids that docs doesn't have leave the sample smaller; an id of several texts counts once."""
+    few = bounded_sample(_known(labels, label, doc_id), "_k", sample_rows, 9, "_y")
+    texts = docs.select(F.col(doc_id).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(few), "_k").select(F.struct("_k", "_y").alias("_k"), "_t")
+    rows = statistics(texts, "_t", "_k").groupBy("_k").agg(F.min("features").alias("features"))
+    return _fitted(rows.orderBy("_k").select("_k._y", "features"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, keep_above: float = KEEP_ABOVE, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per row of docs: doc_id, the counts, base_failed, score (probability of label 1) and kept."""
     stats = written(statistics(docs, text, doc_id), "statistics")
@@ -222,10 +241,10 @@ def judge(docs: DataFrame, labels: DataFrame, keep_above: float = KEEP_ABOVE, do
 
 
 def kept(docs: DataFrame, labels: DataFrame, keep_above: float = KEEP_ABOVE, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs that judge() keeps, all columns. The model's statistics come from a first pass over all texts; the verdicts are made where the texts are, so these are never shuffled."""
+    """The rows of docs that judge() keeps, all columns. The model comes from the texts of sampled labels; the verdicts are made where the texts are, so these are never shuffled."""
     spark = docs.sparkSession
     bound_batches(spark)
-    model = train(statistics(docs, text, doc_id), labels, doc_id=doc_id, sample_rows=sample_rows)
+    model = train_on_texts(docs, labels, doc_id=doc_id, text=text, sample_rows=sample_rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):

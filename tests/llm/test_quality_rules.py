@@ -53,3 +53,15 @@ def test_monotone_features():
             at = np.tile(draw.random(3), (200, 1))
             at[:, j] = line
             assert (sign * np.diff(trees.margin(at)) >= -1e-12).all()
+
+
+def test_patterned_lines_and_words_differ():
+    import pyarrow as pa
+    from opsloom.llm.quality_rules import text_statistics
+
+    from .conftest import thue_morse
+
+    for size in (128, 2048, 4096):
+        x, y = ("".join(t) for t in thue_morse("a", "b", size))
+        got = text_statistics(pa.array([f"{x}\n{y}", f"{x}\n{y}\n{x}", f"{x} 1 2 {y} 1 2 {x} 1 2"]))
+        assert got["n_dup_lines"].tolist() == [0, 1, 0] and got["n_repeat_words"].tolist() == [0, 0, 6]

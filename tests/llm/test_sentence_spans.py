@@ -109,3 +109,13 @@ def test_query_on_the_smallest_tables(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_sentences, r.n_removed) for r in queries.op5_sentence_spans(spark, str(tmp_path)).collect()}
     assert got == all_runs(docs)
+
+
+def test_patterned_passages_differ(spark):
+    from opsloom.llm import sentence_spans
+
+    from .conftest import thue_morse
+
+    x, y = (" ".join(t) + "." for t in thue_morse("red", "blue", 512))
+    rows = spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in sentence_spans.deduplicated(rows, both_ends=True).collect()} == {1: 0, 2: 0, 3: 1}
