@@ -5,7 +5,8 @@ the columns of documents: quality rules (rejected documents go), near-dedup (one
 each class stays), benchmark decontamination (contaminated documents go), PII (texts are
 pseudonymised), and mixing, which returns how many words the mix takes of every document.
 
-A stage's filters keep whole rows; a row with a null doc_id passes through every stage.
+A stage's filters keep whole rows; a row with a null doc_id is judged like any other, and of a class of near
+duplicates a row with an id stays before one without.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(docs)
+    return pii.pseudonymised(docs, pii.secret_of(spark))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
