@@ -6,8 +6,9 @@ streaming versions."""
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
 
 import pyarrow as pa
@@ -141,144 +142,174 @@ def create_caps(records: DataFrame, caps: list[tuple[str, float, int]], key: str
 
 
 # ---------------------------------------------------------------- breakers
-@dataclass
+class Trailing:
+    """Times of the last `span` seconds."""
+
+    def __init__(self, span: float):
+        self.span, self.times = _seconds(span), deque()
+
+    def count(self, now: datetime) -> int:
+        """How many lie within the span before now, now excluded."""
+        while self.times and self.times[0] <= now - self.span:
+            self.times.popleft()
+        return sum(t < now for t in self.times)
+
+    def add(self, now: datetime) -> None:
+        self.times.append(now)
+
+
+@dataclass(frozen=True)
+class Circuit:
+    """What is remembered of a scope: `pressed` since when it has been over its cap without a pause, `doublings` of the wait."""
+
+    phase: str = "closed"
+    until: datetime | None = None
+    pressed: datetime | None = None
+    doublings: int = -1
+    trips: int = 0
+
+
+@dataclass(frozen=True)
 class Breaker:
-    """closed, open or half_open; a scope over its cap for `sustain` seconds opens, with a backoff that doubles from trip to trip."""
+    """A table of guarded moves. Over its cap for `sustain` seconds a scope opens; it waits `base` seconds, twice as long each
+    further time up to `longest`; then one arrival probes it. The rate counts whatever arrived in the 60 seconds before, allowed
+    or not: were only allowed arrivals counted, a blocked scope's rate would fall by itself and never stay over its cap."""
 
     cap: int
     sustain: float = 120
     base: float = 60
     longest: float = 1800
-    state: str = "closed"
-    trips: int = 0
-    backoff: float = 0.0
-    until: datetime | None = None
-    over_since: datetime | None = None
-    probed: bool = False
-    recent: list[datetime] = field(default_factory=list)
-
-    def _trip(self, now: datetime) -> None:
-        self.trips += 1
-        self.backoff = self.base if self.trips == 1 or not self.backoff else min(self.backoff * 2, self.longest)
-        self.state, self.until, self.probed, self.over_since = "open", now + _seconds(self.backoff), False, None
-
-    def decide(self, now: datetime) -> tuple[bool, bool]:
-        """(allowed, probe) for an arrival. The rate is what arrived in the 60 seconds before, allowed or not: were only allowed
-        arrivals counted, a blocked scope's rate would fall by itself and never stay over its cap."""
-        self.recent = [t for t in self.recent if t > now - _seconds(60)]
-        rate = len(self.recent)
-        self.recent.append(now)
-        if self.state == "open":
-            if now < self.until:
-                return False, False
-            self.state, self.probed = "half_open", False
-        if self.state == "half_open":
-            if self.probed:
-                return False, True
-            self.probed = True
-            return True, True
-        if self.cap > 0 and rate >= self.cap:
-            self.over_since = self.over_since or now
-            if now - self.over_since >= _seconds(self.sustain):
-                self._trip(now)
-            return False, False
-        self.over_since = None
-        return True, False
-
-    def close(self, now: datetime) -> bool:
-        """The probe's verdict: still over the cap opens again."""
-        if self.state != "half_open":
-            return False
-        if (self.cap > 0 and sum(now - _seconds(60) < t < now for t in self.recent) >= self.cap) or (self.over_since and now - self.over_since >= _seconds(self.sustain)):
-            self._trip(now)
-            return False
-        self.state, self.backoff, self.until, self.over_since, self.probed = "closed", self.base, None, None, False
-        return True
+
+    def wait(self, c: Circuit) -> float:
+        return min(self.base * 2 ** max(c.doublings, 0), self.longest)
+
+    def over(self, rate: int) -> bool:
+        return 0 < self.cap <= rate
+
+    def lasting(self, c: Circuit, now: datetime) -> bool:
+        return now - (c.pressed or now) >= _seconds(self.sustain)
+
+    def tripped(self, c: Circuit, now: datetime) -> Circuit:
+        after = Circuit("open", None, None, c.doublings + 1, c.trips + 1)
+        return replace(after, until=now + _seconds(self.wait(after)))
+
+    #: (phase, guard, allowed, probe, what the circuit becomes), the first that applies.
+    ARRIVAL = (
+        ("open", lambda b, c, now, rate: now < c.until, False, False, lambda b, c, now: c),
+        ("open", lambda b, c, now, rate: True, True, True, lambda b, c, now: replace(c, phase="half_open", pressed=None)),
+        ("half_open", lambda b, c, now, rate: True, False, True, lambda b, c, now: c),
+        ("closed", lambda b, c, now, rate: not b.over(rate), True, False, lambda b, c, now: replace(c, pressed=None)),
+        ("closed", lambda b, c, now, rate: b.lasting(c, now), False, False, lambda b, c, now: b.tripped(c, now)),
+        ("closed", lambda b, c, now, rate: True, False, False, lambda b, c, now: replace(c, pressed=c.pressed or now)),
+    )
+
+    def decide(self, c: Circuit, now: datetime, rate: int) -> tuple[Circuit, bool, bool]:
+        """(the circuit after an arrival, allowed, probe)."""
+        for phase, guard, allowed, probe, move in self.ARRIVAL:
+            if phase == c.phase and guard(self, c, now, rate):
+                return move(self, c, now), allowed, probe
+        raise ValueError(c.phase)
+
+    def verdict(self, c: Circuit, now: datetime, rate: int) -> Circuit:
+        """After a probe: a scope still over its cap opens again, another one closes and starts over with the shortest wait."""
+        if c.phase != "half_open":
+            return c
+        return self.tripped(c, now) if self.over(rate) else replace(c, phase="closed", until=None, doublings=0)
 
 
 def breaker(records: DataFrame, cap: int, key: str = "source", **limits: float) -> DataFrame:
     """(key, seq, allowed, probe, state, trips) of every arrival; a probe's verdict follows at once."""
-    kind = records.schema[key].dataType.simpleString()
+    kind, rules = records.schema[key].dataType.simpleString(), Breaker(cap, **limits)
 
-    def step(b: Breaker, row: dict) -> list[dict]:
-        allowed, probe = b.decide(row["ts"])
-        if allowed and probe:
-            b.close(row["ts"])
-        return [{key: row[key], "seq": row["seq"], "allowed": allowed, "probe": probe, "state": b.state, "trips": b.trips}]
+    def step(s: dict, row: dict) -> list[dict]:
+        seen, now = s.setdefault("seen", Trailing(60)), row["ts"]
+        # an arrival at the same instant counts towards the rate of the next one
+        rate = seen.count(now) + sum(t == now for t in seen.times)
+        circuit, allowed, probe = rules.decide(s.get("circuit", Circuit()), now, rate)
+        seen.add(now)
+        s["circuit"] = circuit = rules.verdict(circuit, now, seen.count(now)) if allowed and probe else circuit
+        return [{key: row[key], "seq": row["seq"], "allowed": allowed, "probe": probe, "state": circuit.phase, "trips": circuit.trips}]
 
-    return fold_by_key(records, [key], ["seq"], lambda: Breaker(cap, **limits), step, f"{key} {kind}, seq long, allowed boolean, probe boolean, state string, trips int")
+    return fold_by_key(records, [key], ["seq"], dict, step, f"{key} {kind}, seq long, allowed boolean, probe boolean, state string, trips int")
 
 
 # ---------------------------------------------------------------- arrivals of a unit
 #: Seconds: merge window, crash-loop window, absorption, storm window.
 MERGE, CRASH, ABSORB, STORM = 5, 300, 1800, 3600
+#: Failures within the crash-loop window that make a loop.
+LOOP = 3
+#: What counts as a failure, by path: (column, values).
+FAILURES = {"properties_changed": ("substate", ("failed", "auto-restart")), "reconcile": ("substate", ("failed",)), "job_removed": ("job_result", ("failed", "timeout", "dependency", "canceled"))}
 
 
-@dataclass
-class Unit:
-    """The open incident of one unit, and its recent failures."""
-
-    failures: list[datetime] = field(default_factory=list)
-    opened: datetime | None = None
-    kind: str = ""
-    crash: bool = False
-    absorb_until: datetime | None = None
+@dataclass(frozen=True)
+class Trouble:
+    """The incident of one unit."""
+
+    began: datetime
+    kind: str
+    n: int = 1
+    absorbs_until: datetime | None = None
     resolved: datetime | None = None
-    n: int = 0
 
-    def arrive(self, path: str, substate: str | None, result: str | None, at: datetime) -> tuple[str, str, int]:
-        """(outcome, class, count): opened, absorbed, attached, reopened or counted."""
-        if path == "resolved":
-            self.resolved = at
-            return "resolved", self.kind, self.n
-        if path == "journald":
-            if self.opened and (self.resolved is None or at - self.opened <= _seconds(MERGE)):
-                self.n += 1
-                return "attached", self.kind, self.n
+    def over(self, at: datetime) -> bool:
+        """Too old to take anything in: a loop after its absorption, another one a storm window after it was resolved."""
+        return (self.absorbs_until is not None and at >= self.absorbs_until) or (self.resolved is not None and at - self.resolved > _seconds(STORM))
+
+    def relation(self, at: datetime) -> str:
+        return "absorbed" if self.absorbs_until else "attached" if at - self.began <= _seconds(MERGE) else "reopened" if self.resolved else "counted"
+
+
+def _named(row: dict, fresh: bool) -> str | None:
+    """The class that an arrival gives its incident: a job's result, or for a new incident what else it says."""
+    if row["job_result"] and (fresh or row["path"] == "job_removed"):
+        return f"job:{row['job_result']}"
+    return (row["substate"] or "failed") if fresh else None
+
+
+def _arrival(s: dict, row: dict) -> tuple[str, str, int]:
+    """(outcome, class, count) of one arrival: the incident is found or dropped, then what relates the two decides."""
+    at, path, trouble = row["ts"], row["path"], s.get("trouble")
+    if path == "resolved":
+        s["trouble"] = trouble and replace(trouble, resolved=at)
+        return "resolved", trouble.kind if trouble else "", trouble.n if trouble else 0
+    if path == "journald":  # log lines never open anything
+        if not trouble or (trouble.resolved and at - trouble.began > _seconds(MERGE)):
             return "alone", "", 0
-        crash = False
-        if _fails(path, substate or "", result or ""):
-            self.failures = [t for t in self.failures if t > at - _seconds(CRASH)] + [at]
-            crash = len(self.failures) >= 3
-        if self.opened and self.resolved and at - self.resolved > _seconds(STORM):
-            self.opened = None
-        if self.opened and self.crash and at >= self.absorb_until:
-            self.opened = None
-        if self.opened and self.crash:
-            self.n += 1
-            return "absorbed", self.kind, self.n
-        if self.opened is None:
-            self.opened, self.resolved, self.n, self.crash = at, None, 1, crash
-            self.kind = "crash_loop" if crash else f"job:{result}" if result else substate or "failed"
-            self.absorb_until = at + _seconds(ABSORB) if crash else None
-            return "opened", self.kind, 1
-        if crash:
-            self.crash, self.kind, self.absorb_until = True, "crash_loop", at + _seconds(ABSORB)
-        self.n += 1
-        if at - self.opened <= _seconds(MERGE):
-            if path == "job_removed" and result and not self.crash:
-                self.kind = f"job:{result}"
-            return "attached", self.kind, self.n
-        if self.resolved:
-            self.resolved = None
-            return "reopened", self.kind, self.n
-        return "counted", self.kind, self.n
-
-
-def _fails(path: str, substate: str, result: str) -> bool:
-    if path == "job_removed":
-        return result in ("failed", "timeout", "dependency", "canceled")
-    return substate == "failed" or (path == "properties_changed" and substate == "auto-restart")
+        s["trouble"] = trouble = replace(trouble, n=trouble.n + 1)
+        return "attached", trouble.kind, trouble.n
+    column, values = FAILURES.get(path, ("substate", ("failed",)))
+    recent, loop = s.setdefault("failures", Trailing(CRASH)), False
+    if row[column] in values:
+        recent.add(at)
+        loop = recent.count(at) + sum(t == at for t in recent.times) >= LOOP
+    if trouble and trouble.over(at):
+        trouble = None
+    absorbs = at + _seconds(ABSORB) if loop else None
+    if trouble is None:
+        s["trouble"] = trouble = Trouble(at, "crash_loop" if loop else _named(row, True), absorbs_until=absorbs)
+        return "opened", trouble.kind, 1
+    outcome, kind = trouble.relation(at), trouble.kind
+    if outcome != "absorbed":
+        if loop:
+            kind = "crash_loop"
+        elif outcome == "attached":
+            kind = _named(row, False) or kind
+    else:
+        absorbs = trouble.absorbs_until
+    s["trouble"] = trouble = replace(trouble, n=trouble.n + 1, kind=kind, absorbs_until=absorbs, resolved=None if outcome == "reopened" else trouble.resolved)
+    return outcome, trouble.kind, trouble.n
 
 
 def merged_arrivals(arrivals: DataFrame) -> DataFrame:
-    """(unit, seq, outcome, class, n) of arrivals (unit, seq, ts, path, substate, job_result)."""
+    """(unit, seq, outcome, class, n) of arrivals (unit, seq, ts, path, substate, job_result): opened, absorbed, attached, reopened or
+    counted; resolved for the end of an incident, alone for a log line without one."""
 
-    def step(u: Unit, row: dict) -> list[dict]:
-        outcome, kind, n = u.arrive(row["path"], row["substate"], row["job_result"], row["ts"])
+    def step(s: dict, row: dict) -> list[dict]:
+        outcome, kind, n = _arrival(s, row)
         return [{"unit": row["unit"], "seq": row["seq"], "outcome": outcome, "class": kind, "n": n}]
 
-    return fold_by_key(arrivals, ["unit"], ["ts", "seq"], Unit, step, "unit string, seq long, outcome string, class string, n long")
+    return fold_by_key(arrivals, ["unit"], ["ts", "seq"], dict, step, "unit string, seq long, outcome string, class string, n long")
 
 
 # ---------------------------------------------------------------- admission of observations

@@ -63,26 +63,55 @@ def test_caps(spark):
 
 
 def test_breaker_opens_probes_and_doubles(spark):
-    now = T0
-    b = s.Breaker(cap=3)
-    log = []
-    for i in range(400):
-        now += timedelta(seconds=5)
-        allowed, probe = b.decide(now)
-        if allowed and probe:
-            b.close(now)
-        log.append((b.state, b.trips, b.backoff))
-    assert {x[0] for x in log} == {"closed", "open"} and log[-1][1] >= 2
     at = lambda sec: T0 + timedelta(seconds=sec)
-    b = s.Breaker(cap=1, sustain=0)
-    assert b.decide(at(0)) == (True, False) and b.decide(at(1)) == (False, False) and b.state == "open" and b.backoff == 60
-    assert b.decide(at(60)) == (False, False)
-    assert b.decide(at(61)) == (True, True) and b.decide(at(61)) == (False, True)
-    assert not b.close(at(62)) and b.state == "open" and b.backoff == 120
-    assert b.decide(at(182)) == (True, True) and b.close(at(182)) and b.state == "closed" and b.backoff == 60
-    rows, df = stream(spark)
-    got = s.breaker(df, 2, "sig").collect()
-    assert len(got) == len(rows) and {r.state for r in got} <= {"closed", "open", "half_open"}
+    b, c = s.Breaker(cap=1, sustain=0), s.Circuit()
+    moves = [(0, 0), (1, 1), (60, 2), (61, 2), (61, 3)]
+    got = []
+    for sec, rate in moves:
+        c, allowed, probe = b.decide(c, at(sec), rate)
+        got.append((allowed, probe, c.phase))
+    assert got == [(True, False, "closed"), (False, False, "open"), (False, False, "open"), (True, True, "half_open"), (False, True, "half_open")]
+    c = b.verdict(c, at(62), 4)
+    assert c.phase == "open" and c.until == at(62 + 120) and c.trips == 2
+    c, *_ = b.decide(c, at(182), 0)
+    c = b.verdict(c, at(182), 0)
+    assert c.phase == "closed" and b.wait(c) == 60
+    waits = []
+    for _ in range(8):
+        c = b.tripped(c, at(0))
+        waits.append((c.until - T0).total_seconds())
+    assert waits == [120, 240, 480, 960, 1800, 1800, 1800, 1800]
+
+
+def test_breaker_against_a_plain_one(spark):
+    """Phases told from the times of trips alone, without remembering a state."""
+    rows, df = stream(spark, n=900, scale=7)
+    want, kept = {}, {}
+    for seq, ts, sig in rows:
+        k = kept.setdefault(sig, {"all": [], "since": None, "open_until": None, "exp": None, "trips": 0})
+        rate = sum(ts - timedelta(seconds=60) < t <= ts for t in k["all"])
+        k["all"].append(ts)
+        trip = False
+        if k["open_until"] is not None:
+            if ts < k["open_until"]:
+                want[seq] = (False, False, "open", k["trips"])
+                continue
+            trip, answer = sum(ts - timedelta(seconds=60) < t < ts for t in k["all"]) >= 2, (True, True)
+            k["open_until"], k["since"] = None, None
+            if not trip:
+                k["exp"] = 0
+        elif rate < 2:
+            k["since"], answer = None, (True, False)
+        else:
+            k["since"] = k["since"] or ts
+            trip, answer = ts - k["since"] >= timedelta(seconds=30), (False, False)
+        if trip:
+            k["exp"] = 0 if k["exp"] is None else k["exp"] + 1
+            k["trips"] += 1
+            k["open_until"] = ts + timedelta(seconds=min(20 * 2 ** k["exp"], 100))
+        want[seq] = (*answer, "open" if trip else "closed", k["trips"])
+    got = {r.seq: (r.allowed, r.probe, r.state, r.trips) for r in s.breaker(df, 2, "sig", sustain=30, base=20, longest=100).collect()}
+    assert got == want and max(t for *_, t in want.values()) >= 3
 
 
 def test_arrivals_merge(spark):
