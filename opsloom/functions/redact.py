@@ -357,13 +357,12 @@ def scrub(df: DataFrame, text: str, extra: Iterable[tuple[str, str]] = ()) -> Da
 
     ship(df.sparkSession)
     extra = list(extra)
-    sign = ANY_SIGN if not extra else ".*"
-    plain = F.struct(F.col(text).alias("text"), F.lit(0).alias("redactions"), F.expr("cast(map() as map<string,int>)").alias("by_rule"), F.lit(None).cast("string").alias("error"))
-    marked = df.withColumn("_sign", F.coalesce(F.col(text).rlike(sign), F.lit(False)))
-    some = marked.where("_sign").withColumn("_r", redacted(F.col(text), extra))
-    none = marked.where("not _sign").withColumn("_r", plain)
-    both = some.unionByName(none)
-    return both.withColumn(text, F.col("_r.text")).withColumn("redactions", F.col("_r.redactions")).withColumn("by_rule", F.col("_r.by_rule")).drop("_r", "_sign")
+    sign = F.lit(True) if extra else F.coalesce(F.col(text).rlike(ANY_SIGN), F.lit(False))
+    marked = df.withColumn("_sign", sign)
+    done = marked.withColumn("_r", redacted(F.when(F.col("_sign"), F.col(text)), extra))
+    nothing = F.expr("cast(map() as map<string,int>)")
+    out = done.withColumn(text, F.when(F.col("_sign"), F.col("_r.text")).otherwise(F.col(text)))
+    return out.withColumn("redactions", F.coalesce("_r.redactions", F.lit(0))).withColumn("by_rule", F.coalesce("_r.by_rule", nothing)).drop("_r", "_sign")
 
 
 def leaks(c: Column) -> Column:
@@ -374,7 +373,7 @@ def leaks(c: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: bool(t) and any(r.may_match(t, low) and bool(r.spans(t, Settings())) for low in [t.lower()] for r in table))
 
-    return run(c)
+    return F.coalesce(run(F.when(c.rlike(ANY_SIGN), c)), F.lit(False))
 
 
 def by_rule(df: DataFrame) -> DataFrame:
