@@ -6,8 +6,8 @@ leftmost smallest-hashed seed of `SEED` bytes in it, which equal strings share a
 offset. So a sparse suffix array of the anchors is enough.
 
 1. Each document is cut into fragments: an anchor with all the strings that choose it, about
-   one in 70 bytes. (seed hash, fragment hash) pairs are pre-aggregated by batch and counted.
-   A fragment that occurs twice is repeated as a whole: its text never moves.
+   one in 70 bytes. Seeds are pre-aggregated by batch and counted; only fragments of seeds that
+   occur twice go on. A fragment that occurs twice is repeated as a whole: its text never moves.
 2. Seeds with several different fragments may share some of their strings. The text of one
    copy of each such fragment goes to the task of its seed. There the suffixes that begin at
    the anchors and the reversed prefixes that end there are sorted deep-shallow: multikey
@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Ranges, Rolling, bound_batches, flat, mix, pieces, written
+from .common import Ranges, Rolling, bound_batches, dropped, flat, mix, pieces, release, written
 from .sentence_spans import doc_key
 
 LENGTH, SEED, SHALLOW, HOT = 200, 32, 32, 4096
 _LOW = np.uint64((1 << 22) - 1)
-_FOUND = "g long, f long, n long, k1 long, k2 long, at long, back int, ahead int"
+_FOUND = "g long, f long, k1 long, k2 long, at long, back int, ahead int"
 
 
 # ---------------------------------------------------------------- fragments
@@ -88,23 +88,28 @@ def fragments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: in
     }
 
 
-def _fragments_of(docs: DataFrame, length: int, doc_id: str, text: str, summed: bool) -> DataFrame:
-    """Fragments of all documents; summed: one row for equal fragments of a batch, with their number."""
+def _seeds_of(docs: DataFrame, length: int, text: str) -> DataFrame:
+    """g, n: the seed of every fragment and how many fragments of a batch have it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "t"):
+            g = np.sort(fragments(*flat(batch.column("t")), length)["g"])
+            head = np.flatnonzero(np.append(True, g[1:] != g[:-1])[: len(g)])
+            yield pa.RecordBatch.from_arrays([pa.array(g[head]), pa.array(np.diff(np.append(head, len(g))))], names=["g", "n"])
+
+    return docs.select(F.col(text).alias("t")).mapInArrow(run, "g long, n long")
+
+
+def _fragments_of(docs: DataFrame, length: int, doc_id: str, text: str) -> DataFrame:
+    """Fragments of all documents: g, f (hashes of seed and fragment), k1, k2 (the document), at, back, ahead."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "t"):
             x = fragments(*flat(batch.column("t")), length)
-            n = np.ones(len(x["g"]), np.int64)
-            if summed and len(n):
-                order = np.lexsort((x["f"], x["g"]))
-                g, f = x["g"][order], x["f"][order]
-                head = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (f[1:] != f[:-1])))
-                n = np.diff(np.append(head, len(order)))
-                x = {k: v[order[head]] for k, v in x.items()}
             doc = pa.array(x["doc"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x["g"]), pa.array(x["f"]), pa.array(n), batch.column("k1").take(doc), batch.column("k2").take(doc), pa.array(x["at"]), pa.array(x["back"].astype(np.int32)), pa.array(x["ahead"].astype(np.int32))],
-                names=["g", "f", "n", "k1", "k2", "at", "back", "ahead"],
+                [pa.array(x["g"]), pa.array(x["f"]), batch.column("k1").take(doc), batch.column("k2").take(doc), pa.array(x["at"]), pa.array(x["back"].astype(np.int32)), pa.array(x["ahead"].astype(np.int32))],
+                names=["g", "f", "k1", "k2", "at", "back", "ahead"],
             )
 
     return docs.select(F.col(text).alias("t"), *doc_key(doc_id, text)).mapInArrow(run, _FOUND)
@@ -240,10 +245,16 @@ def shared_strings(left: list[bytes], right: list[bytes], length: int = LENGTH)
 # ---------------------------------------------------------------- the operator
 def repeated(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """k1, k2, begin, end: covered byte ranges of every document (they may overlap)."""
-    bound_batches(docs.sparkSession)
-    by_seed = Window.partitionBy("g")
-    counted = _fragments_of(docs, length, doc_id, text, True).repartition("g").groupBy("g", "f").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "at", "back", "ahead")).alias("one"))
-    counted = written(counted.withColumn("m", F.count("*").over(by_seed)).where("n > 1 or m > 1").select("g", "f", "n", "m", "one.*"), "fragments")
+    spark = docs.sparkSession
+    bound_batches(spark)
+    # most seeds occur once: what follows is about the others
+    seeds = written(_seeds_of(docs, length, text).groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g"), "seeds")
+    release(spark)
+    every = written(_fragments_of(docs, length, doc_id, text).join(seeds, "g"), "repeats")
+    dropped(seeds)
+    release(spark)
+    pairs = every.groupBy("g", "f").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at", "back", "ahead")).alias("one"))
+    counted = written(pairs.join(pairs.groupBy("g").agg(F.count("*").alias("m")), "g").select("g", "f", "n", "m", "one.*"), "fragments")
 
     # one copy of every fragment whose seed has others: cut its text out of its document
     wanted = counted.where("m > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "f", "m", "at", "back", "ahead")).alias("cuts"))
@@ -287,7 +298,11 @@ def repeated(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text
     whole_ones = counted.where("n > 1").select("g", "f", F.lit(None).cast("array<struct<first:int,last:int>>").alias("some"))
     known = ranges.join(whole_ones.select("g", "f"), ["g", "f"], "left_anti").unionByName(whole_ones)
 
-    every = _fragments_of(docs, length, doc_id, text, False).join(known, ["g", "f"])
+    known = written(known, "known")
+    dropped(counted)
+    release(spark)  # of the texts that were sorted
+
+    every = every.join(known, ["g", "f"])
     all_of_it = F.array(F.struct((length - F.col("ahead")).cast("int").alias("first"), F.col("back").alias("last")))
     runs = every.select("k1", "k2", "at", F.explode(F.coalesce("some", all_of_it)).alias("r"))
     return runs.select("k1", "k2", (F.col("at") - F.col("r.last")).alias("begin"), (F.col("at") - F.col("r.first") + length).alias("end"))
@@ -296,7 +311,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text
 def deduplicated(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, spans (array<struct<begin, end>> of removed bytes), kept (binary)."""
     packed = (F.col("begin") * (1 << 24) + (F.col("end") - F.col("begin"))).alias("p")
-    gone = repeated(docs, length, doc_id, text, hot).select("k1", "k2", packed).groupBy("k1", "k2").agg(F.collect_set("p").alias("gone"))
+    gone = written(repeated(docs, length, doc_id, text, hot).select("k1", "k2", packed).groupBy("k1", "k2").agg(F.collect_set("p").alias("gone")), "gone")
+    release(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     keyed = docs.select(F.col(doc_id).alias("d"), body.alias("t"), *doc_key(doc_id, text)).join(gone, ["k1", "k2"], "left").select("d", "t", "gone")
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
