@@ -168,7 +168,7 @@ def _segments(c: Column) -> Column:
     return F.split(_text(c), r"[.\-]", -1)
 
 
-def _segment_number(c: Column) -> Column:
+def segment_number(c: Column) -> Column:
     return F.when(c.rlike(r"^[vV]?[0-9]{1,18}\z"), F.regexp_replace(c, "^[vV]", "").try_cast("long"))
 
 
@@ -179,7 +179,7 @@ def compare_releases(a: Column | str, b: Column | str) -> Column:
 
     def order(p: Column) -> Column:
         u, v = F.coalesce(p["x"], F.lit("")), F.coalesce(p["y"], F.lit(""))
-        m, n = _segment_number(u), _segment_number(v)
+        m, n = segment_number(u), segment_number(v)
         sign = lambda lo, hi: F.when(lo < hi, -1).when(lo > hi, 1).otherwise(0)
         return F.when(u == v, 0).when(m.isNotNull() & n.isNotNull(), sign(m, n)).when(m.isNotNull() | n.isNotNull(), 9).otherwise(sign(u, v))
 
@@ -203,6 +203,21 @@ def go_duration(text: str) -> float:
     return sign * sum(float(n) * unit[u] for n, u in parts) if "".join(n + u for n, u in parts) == body else 0.0
 
 
+def duration_seconds(c: Column | str) -> Column:
+    """The same of a column, without a sign: 0 where a text isn't a duration."""
+    text = _text(c)
+    part = r"(\d+(?:\.\d*)?|\.\d+)(ns|us|µs|ms|s|m|h)"
+    numbers, units = (F.regexp_extract_all(text, F.lit(part), F.lit(g)) for g in (1, 2))
+    scale = chosen_number({"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0})
+    total = F.aggregate(F.zip_with(numbers, units, lambda n, u: n.try_cast("double") * scale(u)), F.lit(0.0), lambda a, x: a + x)
+    return F.when(text.rlike(rf"^(?:{part})+\z"), total).otherwise(F.lit(0.0))
+
+
+def chosen_number(table: dict[str, float]):
+    """A function of a column: the number of a name."""
+    return lambda c: chosen(c, list(table.items()), 0.0)
+
+
 def fnv1a(c: Column | str) -> Column:
     """32-bit FNV-1a of the UTF-8 bytes."""
     octets = F.transform(F.regexp_extract_all(F.hex(_text(c).cast("binary")), F.lit(".."), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("long"))

@@ -61,6 +61,11 @@ SIGNS: dict[str, tuple[tuple[str, ...], str]] = {
 MARKER = re.compile(r"""["']?\[(?:REDACTED:[a-z][a-z0-9_]{2,31}|SCRUB-TRUNCATED:[0-9]+)\]["']?""")
 _ASSIGNED, _QUAD = re.compile("[:=]"), re.compile(r"[0-9]\.[0-9]")
 
+def is_marker(c: Column) -> Column:
+    """Whether a text is a marker, bare or quoted."""
+    return c.rlike(f"^(?:{MARKER.pattern})\\z")
+
+
 Span = tuple[int, int, str | None]  # begin, end, what stands there afterwards if not the rule's marker
 
 

@@ -112,3 +112,8 @@ def taxonomy_of(text: Column, rules: list[tuple[str, str]], otherwise: str = "er
     for name, pattern in reversed(rules):
         out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
     return out
+
+
+def canonical_json(fields: Column, order: tuple[str, ...], sorted_lists: tuple[str, ...] = ()) -> Column:
+    """JSON of a struct with its members in the given order and the named lists sorted."""
+    return F.to_json(F.struct(*((F.array_sort(fields[n]) if n in sorted_lists else fields[n]).alias(n) for n in order)))

@@ -48,6 +48,10 @@ def page_size(asked: int, default: int = 500, most: int = 5000) -> int:
     return default if asked <= 0 else min(asked, most)
 
 
+def clamped_size(asked: Column, default: int = 500, most: int = 5000) -> Column:
+    return F.when(asked <= 0, default).otherwise(F.least(asked, F.lit(most)))
+
+
 def titles(incidents: DataFrame, groups: DataFrame) -> DataFrame:
     """An incident's title: the group's title, else its digest, else the signature, else the id."""
     some = lambda c: F.nullif(F.col(c), F.lit(""))
