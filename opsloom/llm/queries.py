@@ -61,7 +61,20 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+# ---------------------------------------------------------------- what SQL can express of op6, op8 and op9
+def targets6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def base8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_secrets(spark, sf_dir).drop("spans")
+
+
+def counts9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_quality_rules(spark, sf_dir).drop("kept", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_compression, op3_warc, op4_decontamination, op5_sentence_spans, op6_mixing, op7_pii, op8_secrets, op9_quality_rules, op10_suffix_array)
+    for f in (op1_near_dedup, op2_compression, op3_warc, op4_decontamination, op5_sentence_spans, op6_mixing, op7_pii, op8_secrets, op9_quality_rules, op10_suffix_array, targets6_mixing, base8_secrets, counts9_quality_rules)
 }
