@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def suppressed(observations: DataFrame, declared: DataFrame, key: str = "scope") -> DataFrame:
-    """observations with `suppressed`: inside an interval [from_ts, until_ts) declared for their key. A semi join, so overlapping intervals don't multiply rows."""
-    d = declared.select(F.col(key).alias("_k"), "from_ts", "until_ts")
-    hit = observations.join(d, (observations[key] == d["_k"]) & (F.col("ts") >= F.col("from_ts")) & (F.col("ts") < F.col("until_ts")), "left_semi").select("seq", F.lit(True).alias("_hit"))
+def suppressed(observations: DataFrame, declared: DataFrame, key: str = "scope", bin_seconds: int = 21_600) -> DataFrame:
+    """observations with `suppressed`: inside an interval [from_ts, until_ts) declared for their key. A semi join in bins of time, so
+    overlapping intervals don't multiply rows and a busy key is spread."""
+    n = lambda c: F.floor(F.unix_timestamp(c) / bin_seconds)
+    d = declared.select(F.col(key).alias("_k"), "from_ts", "until_ts", F.explode(F.sequence(n(F.col("from_ts")), n(F.col("until_ts")))).alias("_d"))
+    o = observations.withColumn("_bin", n(F.col("ts")))
+    hit = o.join(d, (o[key] == d["_k"]) & (o["_bin"] == d["_d"]) & (F.col("ts") >= F.col("from_ts")) & (F.col("ts") < F.col("until_ts")), "left_semi").select("seq", F.lit(True).alias("_hit"))
     return observations.join(hit, "seq", "left").withColumn("suppressed", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 

@@ -29,14 +29,8 @@ def recurrences(spark, d):
     return desk.recurrences(records(spark, d), 43200, "scope").select("seq", "recurrence")
 
 
-@query("f41_quiet_close", f"WITH {R} SELECT scope, max(ts) <= TIMESTAMP '2024-01-20' AND max(k) > 50 AND count_if(kind = 'canary') > 0 AND count_if(kind = 'gap' AND k = 9) = 0 AND scope % 3 <> 0 AS close FROM r WHERE seq % 17 = 0 GROUP BY scope")
+@query("f41_quiet_close", f"WITH {R} SELECT scope, max(ts) <= TIMESTAMP '2024-01-20' AND max(k) > 50 AND count_if(kind = 'canary') > 0 AND count_if(kind = 'gap' AND k = 9) = 0 AND scope % 3 <> 0 AS close FROM r GROUP BY scope")
 def quiet_close(spark, d):
-    return quiet_of(records(spark, d).where("seq % 17 = 0"))
-
-
-@query("f41_all_quiet_close")
-def all_quiet_close(spark, d):
-    """Over all records of a scope."""
     return quiet_of(records(spark, d))
 
 

@@ -1,4 +1,4 @@
-"""Queries whose answer depends on the order of a key's rows; SQL has no twin for most, so tests hold them against sequential versions."""
+"""Queries whose answer depends on the order of a key's rows; tests hold the operators against sequential versions besides."""
 
 from __future__ import annotations
 
@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 from ..functions import classify, parsers, signature
 from ..operators import stateful
 from ..sources import envelopes, observations
+from . import fold_sql
 from .catalog import query, table
 from .stream_queries import R, records
 
 
-@query("f9_cooldown")
+@query("f9_cooldown", fold_sql.COOLDOWN)
 def cooldown(spark, d):
     return stateful.cooled(records(spark, d).select("source", "scope", "seq", "ts"), 86400, ["source", "scope"]).select("seq")
 
 
-@query("f10_breaker")
+@query("f10_breaker", fold_sql.BREAKER)
 def breaker(spark, d):
     return stateful.breaker(records(spark, d).select("source", "seq", "ts"), 2, base=600, longest=7200)
 
 
-@query("f14_fold_windows")
+@query("f14_fold_windows", fold_sql.FOLD_WINDOWS)
 def fold_windows(spark, d):
     return stateful.folded(records(spark, d).select("sig", "seq", "ts"), 6 * 3600)
 
@@ -35,7 +36,7 @@ def arrivals(spark, d):
     return stateful.merged_arrivals(rows)
 
 
-@query("f16_admission")
+@query("f16_admission", fold_sql.ADMISSION)
 def admission(spark, d):
     rows = records(spark, d).select(
         F.concat(F.lit("k"), (F.col("scope") % 20).cast("string")).alias("key"), "seq", "ts", (F.col("seq") % 700).cast("string").alias("event_id"), "sig", (F.col("source") == "view").alias("suppressed"), ((F.col("source") == "signup") & (F.col("k") % 5 == 0)).alias("resolves")
@@ -43,7 +44,7 @@ def admission(spark, d):
     return stateful.admitted(rows, 86400)
 
 
-@query("f17_transitions")
+@query("f17_transitions", fold_sql.TRANSITIONS)
 def transitions(spark, d):
     triggers = [e[3] for e in stateful.EDGES]
     trigger = F.element_at(F.array(*map(F.lit, triggers)), (F.col("k") % len(triggers) + 1).cast("int"))
@@ -58,22 +59,22 @@ def legal_edges(spark, d):
     return stateful.legal_edges(spark).groupBy("from_state", "trigger").agg(F.min("edge").alias("edge"), F.min_by("to_state", "edge").alias("to_state"))
 
 
-@query("f23_token_bucket")
+@query("f23_token_bucket", fold_sql.TOKEN_BUCKET)
 def token_bucket(spark, d):
     return stateful.token_bucket(records(spark, d).select("scope", "seq", "ts"), 0.001, 2)
 
 
-@query("f24_event_dedup")
+@query("f24_event_dedup", fold_sql.EVENT_DEDUP)
 def event_dedup(spark, d):
     return stateful.deduplicated(records(spark, d).select("sig", "seq", "ts"), "sig", 86400).select("seq", "duplicate")
 
 
-@query("f39_create_caps")
+@query("f39_create_caps", fold_sql.CREATE_CAPS)
 def create_caps(spark, d):
     return stateful.create_caps(records(spark, d).select("scope", "seq", "ts"), [("day", 86400, 2), ("week", 7 * 86400, 8)])
 
 
-@query("f28_log_blocks")
+@query("f28_log_blocks", fold_sql.LOG_BLOCKS)
 def log_blocks(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
     lines = docs.select("source", F.col("line_no").cast("long").alias("line_no"), F.timestamp_seconds(F.col("line_no")).alias("ts"), "text")

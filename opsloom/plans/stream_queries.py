@@ -478,17 +478,18 @@ def newest_canaries(spark, d):
 
 
 # ---------------------------------------------------------------- C joins and verdicts
-W = "w AS (SELECT 'w' || seq AS wid, sig, scope, ts AS start_ts, ts + INTERVAL 2 DAY AS end_ts FROM r WHERE kind = 'event' AND k = 7)"
-GAPS = "gp AS (SELECT 'g' || seq AS gid, ts AS from_ts, ts + INTERVAL 30 MINUTE AS to_ts FROM r WHERE kind = 'gap' AND k % 10 = 3)"
+W = "w AS (SELECT 'w' || seq AS wid, sig, scope, ts AS start_ts, ts + INTERVAL 2 DAY AS end_ts FROM r WHERE kind = 'event')"
+GAPS = "gp AS (SELECT 'g' || seq AS gid, ts AS from_ts, ts + INTERVAL 30 MINUTE AS to_ts FROM r WHERE kind = 'gap')"
 
 
-def window_rows(spark, d, which="k = 7"):
-    rows = records(spark, d).where(f"kind = 'event' and {which}")
+def window_rows(spark, d):
+    """A window of two days after every event."""
+    rows = records(spark, d).where("kind = 'event'")
     return rows.select(F.concat(F.lit("w"), F.col("seq").cast("string")).alias("wid"), "sig", "scope", F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("interval 2 days")).alias("end_ts"))
 
 
-def gap_rows(spark, d, which="k % 10 = 3"):
-    rows = records(spark, d).where(f"kind = 'gap' and {which}")
+def gap_rows(spark, d):
+    rows = records(spark, d).where("kind = 'gap'")
     return rows.select(F.concat(F.lit("g"), F.col("seq").cast("string")).alias("gid"), F.col("ts").alias("from_ts"), (F.col("ts") + F.expr("interval 30 minutes")).alias("to_ts"))
 
 
@@ -497,12 +498,6 @@ def gaps_in_windows(spark, d):
     return verify.overlapping(window_rows(spark, d), gap_rows(spark, d), 6 * 3600).select("wid", "gid")
 
 
-@query("c3_all_gaps_in_windows")
-def all_gaps_in_windows(spark, d):
-    """Every gap in the window of every event."""
-    return verify.overlapping(window_rows(spark, d, "true"), gap_rows(spark, d, "true"), 6 * 3600).select("wid", "gid")
-
-
 @query("c4_events_in_windows", f"WITH {R}, {W} SELECT wid, count(r.seq) AS events FROM w LEFT JOIN r ON r.sig = w.sig AND r.ts BETWEEN start_ts AND end_ts AND r.kind = 'event' GROUP BY 1")
 def events_in_windows(spark, d):
     return verify.events_in(window_rows(spark, d), records(spark, d).where("kind = 'event'")).select("wid", "events")
@@ -516,17 +511,11 @@ def first_canary(spark, d):
 @query(
     "f44_verdicts",
     f"""WITH {R}, {W}, {GAPS}, c AS (SELECT wid, arg_min(r.seq, (r.ts, r.seq)) AS canary FROM w LEFT JOIN r ON r.scope = w.scope AND r.ts >= start_ts AND r.ts < end_ts AND r.kind = 'canary' GROUP BY 1),
-    e AS (SELECT wid, count(r.seq) AS events FROM w LEFT JOIN r ON r.sig = w.sig AND r.ts > start_ts AND r.ts <= end_ts AND r.kind = 'event' GROUP BY 1), g AS (SELECT wid, count(*) AS gaps FROM w JOIN gp ON to_ts >= start_ts AND from_ts <= end_ts AND gid LIKE '%1' GROUP BY 1)
+    e AS (SELECT wid, count(r.seq) AS events FROM w LEFT JOIN r ON r.sig = w.sig AND r.ts > start_ts AND r.ts <= end_ts AND r.kind = 'event' GROUP BY 1), g AS (SELECT wid, count(*) AS gaps FROM w JOIN gp ON to_ts >= start_ts AND from_ts <= end_ts GROUP BY 1)
     SELECT wid, CASE WHEN canary IS NULL OR coalesce(gaps, 0) > 0 THEN 'invalid' WHEN events > 0 THEN 'failed' ELSE 'passed' END AS verdict FROM c JOIN e USING (wid) LEFT JOIN g USING (wid)""",
 )
 def verdicts(spark, d):
-    return verdict_rows(spark, d, window_rows(spark, d), gap_rows(spark, d).where("gid like '%1'"))
-
-
-@query("f44_all_verdicts")
-def all_verdicts(spark, d):
-    """The window of every event, against every gap."""
-    return verdict_rows(spark, d, window_rows(spark, d, "true"), gap_rows(spark, d, "true"))
+    return verdict_rows(spark, d, window_rows(spark, d), gap_rows(spark, d))
 
 
 def verdict_rows(spark, d, w, gap):
@@ -606,11 +595,6 @@ def newest_gaps(spark, d):
     return newest_of(gap_rows(spark, d))
 
 
-@query("g7_all_newest_gaps")
-def all_newest_gaps(spark, d):
-    return newest_of(gap_rows(spark, d, "true"))
-
-
 def newest_of(gaps):
     return gaps.where(F.col("to_ts").between(F.lit("2024-01-03").cast("timestamp"), now())).orderBy(F.col("to_ts").desc(), "gid").limit(30).select("gid", "to_ts")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, redact, signature, textnorm
+from . import fold_sql
 from .catalog import query, table
 
 #: The masks in SQL, over a column.
@@ -22,19 +23,12 @@ LINE = _sql_masks("l", [(r"\b0x[0-9a-fA-F]+\b", "<hex>"), (_UUID, "<uuid>"), ("[
 NORM = f"array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13)) <> '')[1:3], lambda l: trim({LINE})), chr(10))"
 
 
-def _ascii(df):
-    """Texts short enough that the byte budget doesn't cut."""
-    return df.withColumn("text", F.substring("text", 1, 160))
+#: A byte budget in SQL: as many characters as fit.
+CUT = "CASE WHEN octet_length(encode(norm)) <= 512 THEN norm ELSE left(norm, list_max(list_filter(range(0, 513), lambda n: octet_length(encode(left(norm, n))) <= 512))::BIGINT) END"
 
 
-@query("d10_message_norm", f"SELECT doc_id, {NORM} AS norm FROM (SELECT doc_id, substr(text, 1, 160) AS text FROM documents)")
+@query("d10_message_norm", f"SELECT doc_id, {CUT} AS norm FROM (SELECT doc_id, coalesce({NORM}, '') AS norm FROM documents)")
 def message_norm(spark, d):
-    return _ascii(table(spark, d, "documents")).select("doc_id", textnorm.message_norm("text").alias("norm"))
-
-
-@query("d10_whole_message_norm")
-def whole_message_norm(spark, d):
-    """Of whole texts; without a twin, as SQL can't cut bytes where a character begins."""
     return table(spark, d, "documents").select("doc_id", textnorm.message_norm("text").alias("norm"))
 
 
@@ -172,14 +166,9 @@ def levels(spark, d):
     return table(spark, d, "orders").select("o_orderkey", classify.level(raw).alias("level"))
 
 
-@query("d51_terms", "SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]{4,}'), lambda w: w NOT IN ('with', 'from', 'this', 'that', 'error', 'failed'))[1:1], ',') AS first_term FROM conversations")
+@query("d51_terms", "SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:3], ',') AS terms FROM (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{4,}'), lambda w: w NOT IN ('with', 'from', 'this', 'that', 'error', 'failed')) AS w FROM conversations)")
 def terms(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.slice(textnorm.corpus_terms("text"), 1, 1), ",").alias("first_term"))
-
-
-@query("d51_all_terms")
-def all_terms(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", textnorm.corpus_terms("text").alias("terms"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(textnorm.corpus_terms("text"), ",").alias("terms"))
 
 
 @query("d47_unit_names", "SELECT s_suppkey, 'pay-' || s_suppkey || '.service' AS unit, 'a_2d' || s_suppkey AS escaped FROM supplier")
@@ -188,7 +177,7 @@ def unit_names(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", classify.unit_of_object_path(F.concat(F.lit("/org/x/unit/pay_2d"), n, F.lit("_2eservice"))).alias("unit"), classify.escape_unit(F.concat(F.lit("a-"), n)).alias("escaped"))
 
 
-@query("d85_jitter")
+@query("d85_jitter", fold_sql.JITTER)
 def jitter(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", classify.jittered(F.lit(60_000_000_000), 0.1, "s_name").alias("interval_ns"))
 
