@@ -111,3 +111,36 @@ def valid_rows(rows: DataFrame) -> DataFrame:
         bad(F.col("priority").isin("P0", "P1", "P2", "P3"), "priority"), bad(F.col("complexity").isin("S", "M", "L"), "complexity"), bad(F.col("sig") != "", "sig"), bad(F.col("inc") != "", "inc"),
     ]
     return rows.withColumn("problems", F.array_compact(F.array(*checks)))
+
+
+def is_compaction(payload: Column, broad: bool = False) -> Column:
+    """Whether a payload marks a compaction's aggregate; the broad test also takes any that says it is one."""
+    marker = F.coalesce(F.get_json_object(payload, "$.op") == "compaction_aggregate", F.lit(False))
+    return marker | F.coalesce(F.get_json_object(payload, "$.aggregate") == "true", F.lit(False)) if broad else marker
+
+
+def filtered(rows: DataFrame, wanted: dict[str, object]) -> DataFrame:
+    """Rows of a process or connection table: a text is a pattern of like, two numbers a range, several texts a choice; None is no filter."""
+    for name, value in wanted.items():
+        if isinstance(value, str):
+            rows = rows.where(F.col(name).like(value))
+        elif isinstance(value, tuple) and value and isinstance(value[0], (int, float)):
+            rows = rows.where(F.col(name).between(*value))
+        elif value is not None:
+            rows = rows.where(F.col(name).isin(*value))
+    return rows
+
+
+def is_protected(path: Column, prefixes: tuple[str, ...]) -> Column:
+    """Whether a path is one of the protected ones or lies below one."""
+    out = F.lit(False)
+    for p in prefixes:
+        out |= (path == p) | F.startswith(path, F.lit(p.rstrip("/") + "/"))
+    return out
+
+
+def view(incidents: DataFrame, as_of: Column) -> DataFrame:
+    """What a list of incidents shows: state, severity, whole minutes since the last change, whether it is open."""
+    age = F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("updated_ts").cast("timestamp"))) / 60_000_000)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return incidents.select("inc", text("state").alias("state"), text("severity").alias("severity"), age.alias("age_minutes"), is_open(F.col("state")).alias("open"))

@@ -91,3 +91,8 @@ def admitted_replay(entries: DataFrame, quota: DataFrame, by: str = "project") -
     place = F.sum(F.when(usable, 1).otherwise(0)).over(Window.partitionBy(by).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     outcome = F.when(F.col("room").isNull(), "unknown_project").when(~F.col("readable"), "unreadable").when(F.col("_n") <= F.col("room"), "admitted").otherwise("waits")
     return known.withColumn("_n", place).withColumn("outcome", outcome).drop("_n", "room")
+
+
+def stranded(given: DataFrame, acknowledged: DataFrame, as_of: Column, seconds: int) -> DataFrame:
+    """Entries that were handed out longer ago than the time and never acknowledged."""
+    return given.where(_us(as_of) - _us(F.col("ts")) > seconds * 1_000_000).join(acknowledged.select("seq"), "seq", "left_anti")

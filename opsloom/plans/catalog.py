@@ -55,4 +55,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _load() -> None:
     """Modules register their queries when they are imported."""
-    from . import desk_queries, function_queries, log_queries, lookup_queries, stream_queries, text_queries  # noqa: F401
+    from . import desk_queries, function_queries, log_queries, lookup_queries, rule_queries, source_queries, stream_queries, text_queries  # noqa: F401

@@ -92,6 +92,11 @@ def tags(json: Column) -> Column:
     return F.when(F.startswith(F.ltrim(json), F.lit("[")), as_map).otherwise(F.from_json(json, "map<string,string>"))
 
 
+def frame_list(json: Column) -> Column:
+    """Frames of an object that lists them, or of the bare list."""
+    return F.coalesce(F.from_json(F.get_json_object(json, "$.frames"), FRAMES), F.when(F.startswith(F.ltrim(json), F.lit("[")), F.from_json(json, FRAMES)), F.array().cast(FRAMES))
+
+
 def sorted_tags(t: Column) -> Column:
     return F.array_sort(F.transform(F.map_entries(t), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
 

@@ -56,7 +56,16 @@ def scan_report(spark: SparkSession, path: str) -> DataFrame:
     rows = decoded(lines(spark, path))
     count = lambda s: F.count_if(F.col("state") == s).alias(s)
     ok = F.when(F.col("state") == "ok", F.col("r.seq"))
-    return rows.groupBy(F.regexp_extract("file", NAME, 0).alias("file")).agg(*map(count, ("ok", "torn", "corrupt", "newer", "blank")), F.min(ok).alias("first_seq"), F.max(ok).alias("last_seq"), F.min("r.ts").alias("min_ts"), F.max("r.ts").alias("max_ts"))
+    return rows.groupBy(F.regexp_extract("file", NAME, 0).alias("file")).agg(*map(count, ("ok", "torn", "corrupt", "newer", "blank")), F.min(ok).alias("first_seq"), F.max(ok).alias("last_seq"), F.min(F.when(F.col("state") == "ok", F.col("r.ts"))).alias("min_ts"), F.max(F.when(F.col("state") == "ok", F.col("r.ts"))).alias("max_ts"))
+
+
+def recovered(spark: SparkSession, path: str, hint: int) -> DataFrame:
+    """What a start has to know: the last seq of the authoritative files, at least the hint, and how many superseded files go."""
+    all_lines = lines(spark, path)
+    kept = authoritative(all_lines)
+    last = decoded(kept).where("state = 'ok'").agg(F.max("r.seq").alias("seq"))
+    count = lambda df, n: df.agg(F.count_distinct(F.regexp_extract("file", NAME, 0)).alias(n))
+    return last.crossJoin(count(all_lines, "a")).crossJoin(count(kept, "b")).select(F.greatest("seq", F.lit(hint).cast("long")).alias("last_seq"), (F.col("a") - F.col("b")).alias("dropped"))
 
 
 def capped(records: DataFrame, most: int) -> tuple[DataFrame, bool]:

@@ -82,3 +82,11 @@ def socket_owners(socks: DataFrame, owners: DataFrame, units: DataFrame) -> Data
     """Sockets with the lowest pid that holds their inode, and its unit."""
     first = owners.groupBy("inode").agg(F.min("pid").alias("pid"))
     return socks.join(first, "inode", "left").join(units, "pid", "left")
+
+
+def processes(lines: DataFrame, page: int, text: str = "value") -> DataFrame:
+    """pid, comm, state, ppid, ticks and rss of process status lines; a name may hold blanks and brackets, so what follows begins at the last one."""
+    head, rest = F.regexp_extract(text, r"^(\d+) \((.*)\) ", 1), F.split(F.regexp_extract(text, r"^\d+ \(.*\) (.*)\z", 1), " ")
+    at = lambda i: F.get(rest, F.lit(i))
+    whole = lambda i: at(i).try_cast("long")
+    return lines.where(head != "").select(head.cast("long").alias("pid"), F.regexp_extract(text, r"^\d+ \((.*)\) ", 1).alias("comm"), at(0).alias("state"), whole(1).alias("ppid"), (whole(11) + whole(12)).alias("ticks"), (whole(21) * page).alias("rss"))
