@@ -26,14 +26,15 @@ DISPLAY_MASKS = (
     (r"(?iu)\b(?:port|listen)[ =:]+(\d+)\b", "port=<n>"),
     (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<uuid>"),
     (r"[0-9a-fA-F]{8,}", "<h>"),
-    (r"/(?:[A-Za-z0-9._-]*/)*([A-Za-z0-9._-]+)/*", "$1"),
+    # no repeated group: it would take a stack frame a segment. A slash after a slash can only begin where the first one failed
+    (r"(?<!/)/[A-Za-z0-9._/-]*(?<=/)([A-Za-z0-9._-]+)/*", "$1"),
     (r"/home/[A-Za-z0-9_.-]+", "/home/<user>"),
     (SPACE + "+", " "),
 )
 LINE_MASKS = (
     (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "UUID"),
     (r"\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?", "TS"),
-    (r"(?:[\w.\-]*/)*([\w.\-]+\.(?:go|py|js|ts|java|rb|rs|php|cs|c|cpp|h)):\d+(?::\d+)?", "$1:LINE"),
+    (r"(?:(?<![\w./\-])|\G)(?:[\w./\-]*/)?([\w.\-]+\.(?:go|py|js|ts|java|rb|rs|php|cs|c|cpp|h)):\d+(?::\d+)?", "$1:LINE"),
     (r":(?:6[0-9]{4}|[1-9][0-9]{3,4})\b", ":PORT"),
     (r"0x[0-9a-fA-F]{4,}", "0xADDR"),
     (r"goroutine \d+", "goroutine N"),

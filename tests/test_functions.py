@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from opsloom.functions import classify as c
 from opsloom.functions import signature as s
+from opsloom.functions import textnorm
 from opsloom.functions import textnorm as t
 from pyspark.sql import functions as F
 
@@ -68,3 +69,23 @@ def test_classes(value):
     assert value(c.fnv1a(F.lit("hello"))) == 0x4F9F2CAB and c.go_duration("1h30m") == 5400 and c.go_duration("x") == 0
     assert value(s.taxonomy_of(F.lit("dial tcp: i/o timeout"), c.TAXONOMY)) == "network_timeout"
     assert value(s.sampled(F.lit("abc"), 1)) is True
+
+
+def test_paths_of_any_length(spark):
+    """Masks of paths against the same in plain Python, whose patterns have no stack to overflow; and very long ones."""
+    import random
+    import re
+
+    draw = random.Random(11)
+    parts = ["/", "//", "a", "b.go", "c-d", ":12", ":3:4", " ", "x.py:7", ".", "_", "\n", "go", "é/"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 14))) for _ in range(400)] + ["a.go:12b.go:3"]
+    shown = lambda t: re.sub(r"/(?:[A-Za-z0-9._-]*/)*([A-Za-z0-9._-]+)/*", r"\1", t)
+    lined = lambda t: re.sub(r"(?:[\w.\-]*/)*([\w.\-]+\.(?:go|py|js|ts|java|rb|rs|php|cs|c|cpp|h)):\d+(?::\d+)?", r"\1:LINE", t, flags=re.ASCII)
+    one = lambda masks, by: tuple(m for m in masks if m[1] == by)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", textnorm.masked(F.col("t"), one(textnorm.DISPLAY_MASKS, "$1")).alias("d"), textnorm.masked(F.col("t"), one(textnorm.LINE_MASKS, "$1:LINE")).alias("l")).collect()
+    for r in got:
+        assert (r.d, r.l) == (shown(texts[r.i]), lined(texts[r.i])), texts[r.i]
+    long = ["/ab" * 100_000, "/" * 200_000, "ab/" * 100_000 + "x.go:7", "a." * 100_000]
+    out = spark.createDataFrame(list(enumerate(long)), "i int, t string").select("i", F.length(textnorm.mask_message("t")).alias("d"), textnorm.mask_line("t").alias("l")).orderBy("i").collect()
+    assert out[0].d == 2 and out[2].l == "x.go:LINE"
