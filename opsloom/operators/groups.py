@@ -60,3 +60,9 @@ def due_flushes(records: DataFrame, every: int = 100, key: str = "sig") -> DataF
     """Records with which a group reaches another multiple of `every`."""
     place = F.row_number().over(Window.partitionBy(key).orderBy("seq"))
     return records.withColumn("nth", place).where(F.col("nth") % every == 0)
+
+
+def to_replay(events: DataFrame, snapshots: DataFrame, key: str = "sig") -> DataFrame:
+    """Events after the last snapshot of their group."""
+    last = snapshots.groupBy(key).agg(F.max_by("upper_seq", "seq").alias("upper"))
+    return events.join(last, key, "left").where(F.col("upper").isNull() | (F.col("seq") > F.col("upper"))).drop("upper")

@@ -434,3 +434,110 @@ def assembled(lines: DataFrame, start: str, more: str, silence: float = 2.0, mos
         return out
 
     return fold_by_key(lines, [key], ["line_no"], dict, step, f"{key} {kind}, first_line long, lines long, text string", close)
+
+
+# ---------------------------------------------------------------- leases, gates, caps, escalations: small machines of one key
+def _outcomes(records: DataFrame, key: str, start: Callable[[], object], decide: Callable[[object, dict], str]) -> DataFrame:
+    """(key, seq, outcome) of machines that only say what became of each row."""
+    kind = records.schema[key].dataType.simpleString()
+    return fold_by_key(records, [key], ["seq"], start, lambda s, r: [{key: r[key], "seq": r["seq"], "outcome": decide(s, r)}], f"{key} {kind}, seq long, outcome string")
+
+
+def leases(requests: DataFrame, seconds: float, key: str = "inc") -> DataFrame:
+    """acquired or refused: a lease lasts `seconds` from the request that got it, and nobody else gets one meanwhile."""
+
+    def decide(s: dict, row: dict) -> str:
+        if s.get("until") is not None and row["ts"] < s["until"]:
+            return "refused"
+        s["until"] = row["ts"] + _seconds(seconds)
+        return "acquired"
+
+    return _outcomes(requests, key, dict, decide)
+
+
+def dedup_gate(moves: DataFrame, seconds: float, key: str = "key") -> DataFrame:
+    """Two phases of a key (move: claim, commit or release): claimed, duplicate, committed, released or ignored. A claim holds until it is
+    released or the time is over; a commit starts the time anew."""
+
+    def decide(s: dict, row: dict) -> str:
+        held = s.get("until") is not None and row["ts"] < s["until"]
+        if row["move"] == "claim":
+            if held:
+                return "duplicate"
+            s["until"], s["done"] = row["ts"] + _seconds(seconds), False
+            return "claimed"
+        if not held or s["done"]:
+            return "ignored"
+        if row["move"] == "commit":
+            s["until"], s["done"] = row["ts"] + _seconds(seconds), True
+            return "committed"
+        s["until"] = None
+        return "released"
+
+    return _outcomes(moves, key, dict, decide)
+
+
+def comment_caps(comments: DataFrame, caps: list[tuple[str, float, int]], interval: float, key: str = "sig") -> DataFrame:
+    """allowed, interval or the first violated cap (name, seconds, most); only allowed comments count, and they stand `interval` seconds apart."""
+    longest = max(s for _, s, _ in caps)
+
+    def decide(made: list, row: dict) -> str:
+        made[:] = [t for t in made if t > row["ts"] - _seconds(longest)]
+        if made and row["ts"] - made[-1] < _seconds(interval):
+            return "interval"
+        broken = next((name for name, seconds, most in caps if sum(t > row["ts"] - _seconds(seconds) for t in made) >= most), None)
+        if broken is None:
+            made.append(row["ts"])
+        return broken or "allowed"
+
+    return _outcomes(comments, key, list, decide)
+
+
+def escalations(reopenings: DataFrame, most: int = 4, seconds: float = 86_400, key: str = "scope") -> DataFrame:
+    """escalated or counted: the re-opening that makes `most` of them within the time escalates and uses them up."""
+
+    def decide(seen: list, row: dict) -> str:
+        seen[:] = [t for t in seen if t > row["ts"] - _seconds(seconds)] + [row["ts"]]
+        if len(seen) < most:
+            return "counted"
+        seen.clear()
+        return "escalated"
+
+    return _outcomes(reopenings, key, list, decide)
+
+
+def issue_desk(moves: DataFrame, reopen: float, most: int, key: str = "sig") -> DataFrame:
+    """What becomes of an arrival (move: arrive or close) at the issue of its signature: created, folded, reopened within the window after
+    it was closed, superseded by a new one after it, or capped when the key has had its share of issues; closed and ignored for closings."""
+
+    def decide(s: dict, row: dict) -> str:
+        if row["move"] == "close":
+            if s.get("state") != "open":
+                return "ignored"
+            s["state"], s["closed"] = "closed", row["ts"]
+            return "closed"
+        if s.get("state") == "open":
+            return "folded"
+        if s.get("state") == "closed" and row["ts"] - s["closed"] <= _seconds(reopen):
+            s["state"] = "open"
+            return "reopened"
+        if s.get("made", 0) >= most:
+            return "capped"
+        outcome = "superseded" if s.get("made") else "created"
+        s["state"], s["made"] = "open", s.get("made", 0) + 1
+        return outcome
+
+    return _outcomes(moves, key, dict, decide)
+
+
+def retry_folds(records: DataFrame, key: str, seconds: float = 600) -> DataFrame:
+    """(key, seq, first): the record that opened the window a retry falls into; null for the one that opens it."""
+    kind = records.schema[key].dataType.simpleString()
+
+    def step(s: dict, row: dict) -> list[dict]:
+        again = s.get("at") is not None and row["ts"] < s["at"] + _seconds(seconds)
+        if not again:
+            s["at"], s["first"] = row["ts"], row["seq"]
+        return [{key: row[key], "seq": row["seq"], "first": s["first"] if again else None}]
+
+    return fold_by_key(records, [key], ["seq"], dict, step, f"{key} {kind}, seq long, first long")

@@ -49,10 +49,15 @@ def oracle_sql() -> dict[str, str]:
     return _sql
 
 
+def oracle_text(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _sql[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _load() -> None:
     """Modules register their queries when they are imported."""
-    from . import desk_queries, function_queries, log_queries, lookup_queries, rule_queries, source_queries, stream_queries, text_queries  # noqa: F401
+    from . import desk_queries, flow_queries, function_queries, log_queries, lookup_queries, rule_queries, source_queries, stream_queries, text_queries  # noqa: F401

@@ -19,7 +19,8 @@ def cooldown(spark, d):
 
 @query("f10_breaker", fold_sql.BREAKER)
 def breaker(spark, d):
-    return stateful.breaker(records(spark, d).select("source", "seq", "ts"), 2, base=600, longest=7200)
+    """A rush: a record every seven seconds, so that breakers trip, probe and close."""
+    return stateful.breaker(records(spark, d).select("source", "seq", F.timestamp_seconds(F.col("seq") * 7).alias("ts")), 2, base=600, longest=7200)
 
 
 @query("f14_fold_windows", fold_sql.FOLD_WINDOWS)
@@ -27,7 +28,7 @@ def fold_windows(spark, d):
     return stateful.folded(records(spark, d).select("sig", "seq", "ts"), 6 * 3600)
 
 
-@query("f15_arrivals")
+@query("f15_arrivals", fold_sql.ARRIVALS)
 def arrivals(spark, d):
     path = classify.chosen(F.col("source"), [("error", "properties_changed"), ("click", "job_removed"), ("view", "journald"), ("signup", "resolved")], "reconcile")
     rows = records(spark, d).select(
