@@ -418,3 +418,28 @@ def spool_segments(spark, d):
     entries = records(spark, d).select((F.col("scope") % 8).alias("segment"), "seq", F.to_json(F.struct("seq", "sig")).alias("entry"))
     files.seal_segments(entries, path)
     return files.read_segments(spark, path, tamper=F.col("segment") == 3)
+
+
+@query("a59_config_files", "SELECT n_nationkey, k, CASE k WHEN 'name' THEN n_name WHEN 'net.port' THEN (8000 + n_nationkey)::VARCHAR ELSE 'a=b' END AS value FROM nation, (VALUES ('name'), ('net.port'), ('net.opt')) AS t(k)")
+def config_files(spark, d):
+    """INI files as flat keys: a section is a prefix, comments and blank lines go, quotes are taken off."""
+    n = F.col("n_nationkey").cast("string")
+    text = F.concat(F.lit("; comment\nname = "), F.col("n_name"), F.lit("\n\n[net]\nport="), (F.col("n_nationkey") + 8000).cast("string"), F.lit("\n# more\nopt = \"a=b\"\n"))
+    rows = files.flat_config(table(spark, d, "nation").select(n.alias("file"), text.alias("text")))
+    return rows.select(F.col("file").cast("int").alias("n_nationkey"), F.col("key").alias("k"), "value")
+
+
+@query("d27_text_lists", "SELECT event_id, 'a,' || event_type AS texts FROM events")
+def text_lists(spark, d):
+    """Only the texts of a JSON list that aren't blank."""
+    json = F.concat(F.lit('["a", 7, "", null, {"x":1}, "  ", "'), F.col("event_type"), F.lit('"]'))
+    return table(spark, d, "events").select("event_id", F.array_join(envelopes.text_list(json), ",").alias("texts"))
+
+
+@query("d97_node_frames", "SELECT s_suppkey, 'run' AS function, '/app/w' || s_suppkey || '.js' AS file, s_suppkey::INTEGER AS line FROM supplier")
+def node_frames(spark, d):
+    from ..functions import parsers
+
+    n = F.col("s_suppkey").cast("string")
+    frame = parsers.node_reject(F.concat(F.lit("Error: x\n    at async run (file:///app/w"), n, F.lit(".js:"), n, F.lit(":5)")))["frames"][0]
+    return table(spark, d, "supplier").select("s_suppkey", frame["function"].alias("function"), F.replace(frame["filename"], F.lit("file://"), F.lit("")).alias("file"), frame["lineno"].alias("line"))

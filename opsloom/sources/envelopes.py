@@ -97,6 +97,13 @@ def frame_list(json: Column) -> Column:
     return F.coalesce(F.from_json(F.get_json_object(json, "$.frames"), FRAMES), F.when(F.startswith(F.ltrim(json), F.lit("[")), F.from_json(json, FRAMES)), F.array().cast(FRAMES))
 
 
+def text_list(json: Column) -> Column:
+    """The texts of a JSON list; numbers, objects and blank texts go."""
+    items = F.from_json(json, "array<variant>")
+    texts = F.transform(F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string"))
+    return F.filter(texts, lambda t: F.trim(t) != "")
+
+
 def sorted_tags(t: Column) -> Column:
     return F.array_sort(F.transform(F.map_entries(t), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
 

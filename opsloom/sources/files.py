@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,14 @@ def read_segments(spark: SparkSession, path: str, tamper: Column | None = None)
     footers = spark.read.schema("segment long, count long, checksum string").json(f"{path}/footers")
     intact = F.col("entries").eqNullSafe(F.col("count")) & F.col("now").eqNullSafe(F.col("checksum"))
     return footers.join(found, "segment", "left").select("segment", F.coalesce("entries", F.lit(0).cast("long")).alias("entries"), intact.alias("intact"))
+
+
+def flat_config(texts: DataFrame) -> DataFrame:
+    """file, key, value of INI and ENV texts (file, text): `section.key`, with comments and blank lines left out and quotes taken off."""
+    lines = texts.select("file", F.posexplode(F.split("text", r"\r?\n", -1)).alias("n", "line")).withColumn("line", F.trim("line"))
+    section = F.nullif(F.regexp_extract("line", r"^\[([^\]]+)\]\z", 1), F.lit(""))
+    order = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    placed = lines.withColumn("section", F.last(section, ignorenulls=True).over(order)).where(F.col("line").rlike(r"^[^#;\[][^=]*="))
+    key = F.trim(F.regexp_replace(F.substring_index("line", "=", 1), "^export ", ""))
+    value = F.trim(F.regexp_extract("line", "^[^=]*=(.*)", 1))
+    return placed.select("file", F.concat_ws(".", "section", key).alias("key"), F.regexp_replace(value, "^([\"'])(.*)\\1\\z", "$2").alias("value"))
