@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .signature import _text, trimmed
+from .signature import _BLANK, _text, trimmed
 
 SPACE = r"[\t\n\f\r ]"
 #: The ordered masks of a message, of a displayed message and of an error line.
@@ -65,7 +65,9 @@ def byte_cut(c: Column, most: int) -> Column:
 
 def message_norm(c: Column | str, lines: int = 3, budget: int = 512) -> Column:
     """The first non-blank lines, each masked, within the byte budget."""
-    kept = F.slice(F.filter(F.split(_text(c), "\n", -1), lambda x: trimmed(x) != ""), 1, lines)
+    # only as much of the text is looked at as the lines need: blanks before each of them may hold blank lines
+    pattern = rf"\A{_BLANK}*+([^\n]*)" + rf"(?:\n{_BLANK}*+([^\n]*))?" * (lines - 1)
+    kept = F.filter(F.array(*(F.regexp_extract(_text(c), pattern, i + 1) for i in range(lines))), lambda x: trimmed(x) != "")
     return byte_cut(F.array_join(F.transform(kept, lambda x: trimmed(masked(x, MESSAGE_MASKS))), "\n"), budget)
 
 
