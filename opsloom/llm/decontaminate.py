@@ -7,8 +7,9 @@ transform in a wavelet matrix, the transform's symbol counts, and every 16th suf
 All windows of the benchmark are searched backwards at once; occurrences are located by
 walking to a sampled position and merged into removal spans.
 
-The text is never shuffled. The benchmark is the stated query set: it is split into blocks
-of a bounded size, each broadcast on its own, and a task goes through the blocks one by one.
+The benchmark is the stated query set: it is split into blocks
+of a bounded size. One block, the common case, is broadcast and all is done in one pass that
+shuffles nothing; several are a pass each, so that neither the driver nor a worker ever holds more than one.
 
 Edge cases: null and empty texts and items have no words and neither hit nor are hit; an item
 with fewer words than the window is one window; items with the same id count once and a null
@@ -25,15 +26,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, pieces
+from .common import bound_batches, pieces, unused, written
+from .sentence_spans import doc_key
 
 WINDOW = 13
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Tokens of one index (21 bits, so that two ranks and a position fit 64) and benchmark bytes of one broadcast.
-SHARD, BLOCK_BYTES = 1 << 20, 16 << 20
+SHARD, BLOCK_BYTES = 1 << 20, 4 << 20
 _SAMPLE = 16
 _BITS = np.uint64(21)
 
@@ -187,17 +189,16 @@ def block_of(items: Iterable[tuple[object, str | None]], window: int = WINDOW) -
     return out
 
 
-def blocks_of(benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text", size: int = BLOCK_BYTES) -> list:
-    """Broadcasts of the benchmark, each of items of about `size` bytes."""
-    spark: SparkSession = benchmark.sparkSession
+def block_count(benchmark: DataFrame, text: str = "text", size: int = BLOCK_BYTES) -> int:
+    """Blocks that hold about `size` bytes of the benchmark each."""
+    return max(1, math.ceil((benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0) / size))
+
+
+def block_at(benchmark: DataFrame, k: int, n: int, window: int = WINDOW, item_id: str = "item_id", text: str = "text"):
+    """Broadcast of block k of n."""
     rows = benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t"))
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, math.ceil(total / size))
-    out = []
-    for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        out.append(spark.sparkContext.broadcast(block_of(((r.i, r.t) for r in part.toLocalIterator()), window)))
-    return out
+    part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
+    return benchmark.sparkSession.sparkContext.broadcast(block_of(((r.i, r.t) for r in part.toLocalIterator()), window))
 
 
 # ---------------------------------------------------------------- the search
@@ -265,16 +266,45 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _judged(texts: list[str | None], blocks: list) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
+def _found(texts: list[str | None], shared, known: tuple[list, list] | None = None) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
+    """Words of each text, its merged spans of hit words and its items: those of one block, or known ones of all blocks."""
     split = [words(t) for t in texts]
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[set[str]] = [set() for _ in texts]
-    for shared in blocks:
-        block = shared.value
-        for k, (s, i) in enumerate(zip(*occurrences(split, block), strict=True)):
-            spans[k] = _merged(spans[k] + s) if spans[k] else s
-            items[k].update(block.items[x] for x in i)
-    return [len(x) for x in split], spans, [sorted(x) for x in items]
+    if known is not None:
+        spans = [_merged([(x["start"], x["end"]) for x in s or ()]) for s in known[0]]
+        return [len(x) for x in split], spans, [sorted(set(i or ())) for i in known[1]]
+    spans, items = occurrences(split, shared.value)
+    return [len(x) for x in split], spans, [sorted(shared.value.items[x] for x in i) for i in items]
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _shown(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS)
+
+
+def _over_blocks(docs: DataFrame, benchmark: DataFrame, n: int, window: int, doc_id: str, text: str, names: tuple[str, str]) -> DataFrame:
+    """docs with the spans and items of all blocks of a large benchmark. Each block is a pass of its own, so a worker holds one at a
+    time; only what is hit is written, and meets its documents by their keys."""
+    found = None
+    for k in range(n):
+        shared = block_at(benchmark, k, n, window)
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, "t", 8 << 20):
+                _, spans, items = _found(batch.column("t").to_pylist(), shared)
+                out = pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), _shown(spans), pa.array(items, pa.list_(pa.string()))], names=["k1", "k2", "spans", "items"])
+                yield out.filter(pa.array([bool(s) for s in spans], pa.bool_()))
+
+        source = docs.select(F.col(text).alias("t"), *doc_key(doc_id, text))
+        hits = written(source.mapInArrow(run, "k1 long, k2 long, spans array<struct<start:long,end:long>>, items array<string>"), f"hits{k}")
+        shared.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+    k1, k2 = unused(docs, "_k1", "_k2")
+    every = lambda c, name: F.flatten(F.collect_list(c)).alias(name)
+    by_doc = found.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(every("spans", names[0]), every("items", names[1]))
+    keyed = docs.select("*", *(c.alias(name) for c, name in zip(doc_key(doc_id, text), (k1, k2), strict=True)))
+    return keyed.join(by_doc, [k1, k2], "left").select(*docs.columns, *names)
 
 
 def _contaminated(n_words: int, spans: list[tuple[int, int]], share: int = 20) -> bool:
@@ -282,36 +312,45 @@ def _contaminated(n_words: int, spans: list[tuple[int, int]], share: int = 20) -
     return n_hit > 0 and share * n_hit >= n_words
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, spans of hit words [start, end), items, contaminated (a twentieth of the words hit)."""
     bound_batches(docs.sparkSession)
-    blocks = blocks_of(benchmark, window)
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    source, n = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")), block_count(benchmark, size=block_bytes)
+    if n > 1:
+        source, shared = _over_blocks(source, benchmark, n, window, "d", "t", ("spans", "items")), None
+    else:
+        shared = block_at(benchmark, 0, 1, window)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "t", 8 << 20):
-            n, spans, items = _judged(batch.column("t").to_pylist(), blocks)
-            rows = [[{"start": a, "end": b} for a, b in s] for s in spans]
+            known = None if shared is not None else (batch.column("spans").to_pylist(), batch.column("items").to_pylist())
+            n, spans, items = _found(batch.column("t").to_pylist(), shared, known)
             hits = [sum(b - a for a, b in s) for s in spans]
             flags = [_contaminated(k, s) for k, s in zip(n, spans, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("d"), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(rows, span), pa.array(items, pa.list_(pa.string())), pa.array(flags, pa.bool_())],
+                [batch.column("d"), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), _shown(spans), pa.array(items, pa.list_(pa.string())), pa.array(flags, pa.bool_())],
                 names=["d", "n_words", "n_hit", "spans", "items", "contaminated"],
             )
 
     schema = f"d {kind}, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>, contaminated boolean"
-    return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInArrow(run, schema).withColumnRenamed("d", doc_id)
+    return source.mapInArrow(run, schema).withColumnRenamed("d", doc_id)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
     bound_batches(docs.sparkSession)
-    blocks = blocks_of(benchmark, window)
+    n, source, names = block_count(benchmark, size=block_bytes), docs, unused(docs, "_spans", "_items")
+    if n > 1:
+        source, shared = _over_blocks(docs, benchmark, n, window, doc_id, text, tuple(names)), None
+    else:
+        shared = block_at(benchmark, 0, 1, window)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text, 8 << 20):
-            n, spans, _ = _judged(batch.column(text).to_pylist(), blocks)
-            yield batch.filter(pa.array([not _contaminated(k, s) for k, s in zip(n, spans, strict=True)], pa.bool_()))
+            known = None if shared is not None else tuple(batch.column(c).to_pylist() for c in names)
+            n, spans, _ = _found(batch.column(text).to_pylist(), shared, known)
+            kept = batch.filter(pa.array([not _contaminated(k, s) for k, s in zip(n, spans, strict=True)], pa.bool_()))
+            yield kept if shared is not None else kept.drop_columns(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return source.mapInArrow(run, docs.schema)

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 from opsloom.llm import decontaminate as d
 from opsloom.llm.queries import op4_decontamination
 
@@ -61,7 +62,14 @@ def test_long_runs_and_several_blocks(spark, awkward, monkeypatch):
     n, hit, want = brute(text.decode(), items)
     assert sum(b - a for a, b in spans[0]) == hit and sorted(one.items[k] for k in found[0]) == want
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    assert len(d.blocks_of(benchmark, size=1000)) > 3
+    assert d.block_count(benchmark, size=1000) > 3
+    rows = [(1, text.decode()), (1, text.decode()), (2, "zz"), (3, None), (None, items[0][1] + " c " + items[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_k1", F.lit("mine"))
+    key = lambda r: (str(r.doc_id), r.n_words, r.n_hit, [tuple(x) for x in r.spans], r["items"], r.contaminated)
+    whole, parts = (sorted(map(key, d.report(docs, benchmark, block_bytes=size).collect())) for size in (1 << 20, 1500))
+    assert whole == parts and len(whole) == 5
+    kept = [sorted(map(str, d.clean(docs, benchmark, block_bytes=size).collect())) for size in (1 << 20, 1500)]
+    assert kept[0] == kept[1] and len(kept[0]) == 2
 
 
 def test_query_digest(spark):
