@@ -3,10 +3,12 @@
 import datetime
 import decimal
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
 from opsloom.plans import catalog
+from opsloom.shipping import ship
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -20,6 +22,22 @@ def norm(v):
     return v.replace(tzinfo=None).isoformat() if isinstance(v, datetime.datetime) else str(v)
 
 
+def answer(spark, name):
+    """(columns, rows) of a query."""
+    df = catalog.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    return columns, sorted(tuple(norm(r[c]) for c in columns) for r in df.collect())
+
+
+@pytest.fixture(scope="module")
+def answers(spark, request):
+    """What the selected queries give, several of them at a time."""
+    ship(spark)
+    names = [i.callspec.params["name"] for i in request.session.items if getattr(i, "function", None) is test_query]
+    with ThreadPoolExecutor(6) as pool:
+        yield {name: pool.submit(answer, spark, name) for name in names}
+
+
 @pytest.fixture(scope="module")
 def con():
     out = duckdb.connect()
@@ -29,10 +47,8 @@ def con():
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
-def test_query(spark, con, name):
-    df = catalog.queries()[name](spark, SF)
-    columns = sorted(df.columns)
-    rows = sorted(tuple(norm(r[c]) for c in columns) for r in df.collect())
+def test_query(answers, con, name):
+    columns, rows = answers[name].result()
     sql = catalog.oracle_sql().get(name)
     if sql is None:
         assert rows
