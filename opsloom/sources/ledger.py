@@ -88,21 +88,27 @@ def prepared(drafts: DataFrame, most_bytes: int = 262_144, kept: tuple[str, ...]
 def append(drafts: DataFrame, path: str, after_seq: int, generation: int = 0) -> int:
     """Append valid drafts with contiguous seqs from after_seq + 1 on, as JSON lines by day; the last seq.
 
-    Seqs come from per-partition counts, so the batch needs no single sorted partition."""
-    good = prepared(drafts).where("error is null").drop("error").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    The drafts are written to a staging folder first, so that counting and numbering see the same rows whatever made them. Seqs come
+    from the counts of its files, so the batch needs no single sorted partition."""
     from ..shipping import ship
+    from .scratch import folder
 
-    ship(drafts.sparkSession)
+    spark = drafts.sparkSession
+    ship(spark)
+    stage = folder(spark, "append")
+    prepared(drafts).where("error is null").drop("error").write.parquet(stage)
+    good = spark.read.parquet(stage).select("*", F.col("_metadata.file_name").alias("_p"), F.monotonically_increasing_id().alias("_i"))
     counts = dict(good.groupBy("_p").count().collect())
     base, total = {}, after_seq
     for p in sorted(counts):
         base[p], total = total, total + counts[p]
-    if not counts:
-        return after_seq
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in base.items() for x in kv]), F.col("_p"))
-    seq = (start + F.row_number().over(Window.partitionBy("_p").orderBy("_i"))).cast("long")
-    out = good.withColumn("seq", seq).withColumn("schema_version", F.lit(SCHEMA_VERSION)).withColumn("day", F.substring("ts", 1, 10)).drop("_p", "_i")
-    out.write.mode("append").partitionBy("day").json(path)
+    if counts:
+        start = F.element_at(F.create_map(*[F.lit(x) for kv in base.items() for x in kv]), F.col("_p"))
+        seq = (start + F.row_number().over(Window.partitionBy("_p").orderBy("_i"))).cast("long")
+        out = good.withColumn("seq", seq).withColumn("schema_version", F.lit(SCHEMA_VERSION)).withColumn("day", F.substring("ts", 1, 10)).drop("_p", "_i")
+        out.write.mode("append").partitionBy("day").json(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
     return total
 
 

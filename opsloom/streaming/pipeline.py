@@ -118,23 +118,28 @@ def split_sink(good: Callable[[DataFrame, int], None], bad: Callable[[DataFrame,
 
 
 def ledger_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: append a batch of drafts with the seqs after the last one; a batch that is already there is skipped."""
+    """foreachBatch: append a batch of drafts with the seqs after the last one; a batch that is already there is skipped.
+
+    Batches are numbered upwards, so the last commit is all that has to be kept: it says which batches are there and where seqs go on."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        place = f"{path}/commits/{batch_id}"
         jvm = spark.sparkContext._jvm
-        mark = jvm.org.apache.hadoop.fs.Path(place)
-        fs = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")):
+        hadoop = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+        commits = hadoop(f"{path}/commits")
+        fs = commits.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [int(s.getPath().getName()) for s in fs.listStatus(commits)] if fs.exists(commits) else []
+        done = [n for n in names if fs.exists(hadoop(f"{path}/commits/{n}/_SUCCESS"))]
+        if done and batch_id <= max(done):
             return
-        last = 0
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/commits")):
-            last = spark.read.schema("last_seq long").json(f"{path}/commits/*").agg(F.max("last_seq")).first()[0] or 0
+        last = spark.read.schema("last_seq long").json(f"{path}/commits/{max(done)}").first()[0] if done else 0
         part = f"{path}/records/batch={batch_id}"
-        fs.delete(jvm.org.apache.hadoop.fs.Path(part), True)  # halves of an attempt that didn't commit
-        done = ledger.append(batch, part, last)
-        spark.createDataFrame([(done,)], "last_seq long").coalesce(1).write.mode("overwrite").json(place)
+        fs.delete(hadoop(part), True)  # halves of an attempt that didn't commit
+        end = ledger.append(batch, part, last)
+        spark.createDataFrame([(end,)], "last_seq long").coalesce(1).write.mode("overwrite").json(f"{path}/commits/{batch_id}")
+        for n in names:
+            if n != batch_id:
+                fs.delete(hadoop(f"{path}/commits/{n}"), True)
 
     return run
 
