@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import running_sum
+
 
 def group_stats(records: DataFrame, key: str = "sig") -> DataFrame:
     """Per group: count, first and last time and seq, last source, release range."""
@@ -57,9 +59,8 @@ def kind_counts(records: DataFrame, by: str) -> DataFrame:
 
 
 def due_flushes(records: DataFrame, every: int = 100, key: str = "sig") -> DataFrame:
-    """Records with which a group reaches another multiple of `every`."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy("seq"))
-    return records.withColumn("nth", place).where(F.col("nth") % every == 0)
+    """Records with which a group reaches another multiple of `every`, with their place in it (nth)."""
+    return running_sum(records, F.lit(1), key, "nth").where(F.col("nth") % every == 0)
 
 
 def to_replay(events: DataFrame, snapshots: DataFrame, key: str = "sig") -> DataFrame:

@@ -243,7 +243,7 @@ FAILURES = {"properties_changed": ("substate", ("failed", "auto-restart")), "rec
 
 
 @dataclass(frozen=True)
-class Trouble:
+class Outage:
     """The incident of one unit."""
 
     began: datetime
@@ -269,36 +269,36 @@ def _named(row: dict, fresh: bool) -> str | None:
 
 def _arrival(s: dict, row: dict) -> tuple[str, str, int]:
     """(outcome, class, count) of one arrival: the incident is found or dropped, then what relates the two decides."""
-    at, path, trouble = row["ts"], row["path"], s.get("trouble")
+    at, path, outage = row["ts"], row["path"], s.get("outage")
     if path == "resolved":
-        s["trouble"] = trouble and replace(trouble, resolved=at)
-        return "resolved", trouble.kind if trouble else "", trouble.n if trouble else 0
+        s["outage"] = outage and replace(outage, resolved=at)
+        return "resolved", outage.kind if outage else "", outage.n if outage else 0
     if path == "journald":  # log lines never open anything
-        if not trouble or (trouble.resolved and at - trouble.began > _seconds(MERGE)):
+        if not outage or (outage.resolved and at - outage.began > _seconds(MERGE)):
             return "alone", "", 0
-        s["trouble"] = trouble = replace(trouble, n=trouble.n + 1)
-        return "attached", trouble.kind, trouble.n
+        s["outage"] = outage = replace(outage, n=outage.n + 1)
+        return "attached", outage.kind, outage.n
     column, values = FAILURES.get(path, ("substate", ("failed",)))
     recent, loop = s.setdefault("failures", Trailing(CRASH)), False
     if row[column] in values:
         recent.add(at)
         loop = recent.count(at) + sum(t == at for t in recent.times) >= LOOP
-    if trouble and trouble.over(at):
-        trouble = None
+    if outage and outage.over(at):
+        outage = None
     absorbs = at + _seconds(ABSORB) if loop else None
-    if trouble is None:
-        s["trouble"] = trouble = Trouble(at, "crash_loop" if loop else _named(row, True), absorbs_until=absorbs)
-        return "opened", trouble.kind, 1
-    outcome, kind = trouble.relation(at), trouble.kind
+    if outage is None:
+        s["outage"] = outage = Outage(at, "crash_loop" if loop else _named(row, True), absorbs_until=absorbs)
+        return "opened", outage.kind, 1
+    outcome, kind = outage.relation(at), outage.kind
     if outcome != "absorbed":
         if loop:
             kind = "crash_loop"
         elif outcome == "attached":
             kind = _named(row, False) or kind
     else:
-        absorbs = trouble.absorbs_until
-    s["trouble"] = trouble = replace(trouble, n=trouble.n + 1, kind=kind, absorbs_until=absorbs, resolved=None if outcome == "reopened" else trouble.resolved)
-    return outcome, trouble.kind, trouble.n
+        absorbs = outage.absorbs_until
+    s["outage"] = outage = replace(outage, n=outage.n + 1, kind=kind, absorbs_until=absorbs, resolved=None if outcome == "reopened" else outage.resolved)
+    return outcome, outage.kind, outage.n
 
 
 def merged_arrivals(arrivals: DataFrame) -> DataFrame:

@@ -106,7 +106,18 @@ def capped(records: DataFrame, most: int, key: list[str]) -> DataFrame:
     return records.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("seq"))).where(F.col("nth") <= most)
 
 
+def running_sum(records: DataFrame, value: Column, by: str, name: str, chunk: int = 65_536) -> DataFrame:
+    """records with a running sum by seq. A key of any size is spread: seqs are cut into chunks, each sums for itself, and what stands
+    before a chunk comes from a table of one row a chunk."""
+    cut = records.withColumn("_chunk", F.floor(F.col("seq") / chunk)).withColumn("_value", value)
+    totals = cut.groupBy(by, "_chunk").agg(F.sum("_value").alias("_total"))
+    earlier = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(by, "_chunk", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    own = F.sum("_value").over(Window.partitionBy(by, "_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return cut.join(before, [by, "_chunk"]).withColumn(name, F.col("_before") + own).drop("_chunk", "_value", "_before")
+
+
 def batches(records: DataFrame, size: str, most: int, key: str = "source") -> DataFrame:
     """Batch numbers by a running sum of sizes, in order."""
-    before = F.sum(size).over(Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)
-    return records.withColumn("batch", F.floor(before / most).cast("long"))
+    summed = running_sum(records, F.col(size), key, "_sum")
+    return summed.withColumn("batch", F.floor((F.col("_sum") - F.col(size)) / most).cast("long")).drop("_sum")
