@@ -65,3 +65,42 @@ def test_patterned_lines_and_words_differ():
         x, y = ("".join(t) for t in thue_morse("a", "b", size))
         got = text_statistics(pa.array([f"{x}\n{y}", f"{x}\n{y}\n{x}", f"{x} 1 2 {y} 1 2 {x} 1 2"]))
         assert got["n_dup_lines"].tolist() == [0, 1, 0] and got["n_repeat_words"].tolist() == [0, 0, 6]
+
+
+def by_hand(text):
+    """The features of a text, written out."""
+    import math
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, chars, symbols, dup, repeated = brute(text)
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n"))
+    rate = lambda pattern: len(re.findall(pattern, text)) / max(chars, 1)
+    per = 1 / max(n, 1)
+    return [
+        math.log1p(n), chars * per, symbols * per, dup / max(lines, 1), repeated * per, rate("[A-Z]"), rate("[0-9]"), rate("[!?]"), rate("[|]"), n / max(lines, 1), len(set(words)) * per, text.count(".") * per,
+    ]
+
+
+def test_verdicts_by_hand(spark):
+    """Every feature, every tree and the verdict of sf0.001 in plain Python; the filter keeps the same rows."""
+    import math
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    trees = q.train(q.statistics(docs), labels)
+    stats = {r.doc_id: r.features for r in q.statistics(docs).collect()}
+
+    def leaf(x, at):
+        while trees.left[at] != at:
+            at = trees.left[at] if x[trees.feature[at]] <= trees.threshold[at] else trees.right[at]
+        return trees.value[at]
+
+    kept = {r.doc_id: (r.score, r.kept) for r in q.judge(docs, labels).collect()}
+    for r in docs.collect():
+        text = r.text or ""
+        x = by_hand(text)
+        assert np.allclose(stats[r.doc_id], x, rtol=1e-12, atol=1e-12), r.doc_id
+        n, *_, repeated = brute(text)
+        score = 1 / (1 + math.exp(-(trees.base + sum(leaf(x, root) for root in trees.roots))))
+        assert abs(kept[r.doc_id][0] - score) < 1e-9
+        assert kept[r.doc_id][1] == (n >= 50 and 100 * repeated <= 50 * n and score >= 0.3)
+    assert {r.doc_id for r in q.kept(docs, labels).collect()} == {i for i, (_, k) in kept.items() if k}
