@@ -121,3 +121,20 @@ def batches(records: DataFrame, size: str, most: int, key: str = "source") -> Da
     """Batch numbers by a running sum of sizes, in order."""
     summed = running_sum(records, F.col(size), key, "_sum")
     return summed.withColumn("batch", F.floor((F.col("_sum") - F.col(size)) / most).cast("long")).drop("_sum")
+
+
+def next_arrival(points: DataFrame, records: DataFrame, at: str, name: str) -> DataFrame:
+    """points with the time of the first record at or after a moment, whatever its key; null if none comes any more.
+
+    Both sides meet by day and are sorted within it; a moment after the last record of its day gets the first one of the next day that has any."""
+    day = lambda c: F.to_date(F.col(c)).alias("_day")
+    days = records.groupBy(day("ts")).agg(F.min("ts").alias("_first"))
+    following = days.select("_day", "_first").withColumn("_side", F.lit(0))
+    asked = points.select(F.to_date(F.col(at)).alias("_day")).distinct().withColumn("_side", F.lit(1))
+    order = Window.orderBy(F.desc("_day"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, -1)  # a row a day
+    later = asked.unionByName(following, allowMissingColumns=True).withColumn("_later", F.last("_first", ignorenulls=True).over(order)).where("_side = 1").select("_day", "_later")
+    p = points.withColumn("_day", F.to_date(F.col(at))).withColumn("_t", F.col(at)).withColumn("_side", F.lit(1))
+    r = records.select(day("ts"), F.col("ts").alias("_t"), F.lit(0).alias("_side")).distinct()
+    within = Window.partitionBy("_day").orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = p.unionByName(r, allowMissingColumns=True).withColumn("_next", F.last(F.when(F.col("_side") == 0, F.col("_t")), ignorenulls=True).over(within)).where("_side = 1")
+    return both.join(F.broadcast(later), "_day").withColumn(name, F.coalesce("_next", "_later")).select(*points.columns, name)

@@ -70,6 +70,13 @@ def cut_windows(spark, d):
     return stateful.folded(records(spark, d).select("sig", "seq", "ts", (F.col("k") % 10 != 0).alias("foldable")), 6 * 3600)
 
 
+@query("f62_closing_arrivals", f"WITH w AS (SELECT sig, first_seq, first_ts + INTERVAL 6 HOUR AS due FROM ({fold_sql.FOLD_WINDOWS})) SELECT w.sig, w.first_seq, e.ts AS closed FROM w ASOF LEFT JOIN (SELECT DISTINCT ts FROM events) AS e ON w.due <= e.ts")
+def closing_arrivals(spark, d):
+    """When an arrival of whatever signature closes a window whose time is over."""
+    due = log_queries.fold_windows(spark, d).select("sig", "first_seq", (F.col("first_ts") + F.expr("interval 6 hours")).alias("due"))
+    return windows.next_arrival(due, records(spark, d), "due", "closed").select("sig", "first_seq", "closed")
+
+
 @query("f71_rate_limit", f"SELECT * FROM ({fold_sql.TOKEN_BUCKET}) WHERE NOT admitted")
 def rate_limit(spark, d):
     """What a bucket refuses."""
