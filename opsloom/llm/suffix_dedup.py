@@ -14,8 +14,9 @@ offset. So a sparse suffix array of the anchors is enough.
    quicksort on eight-byte characters down to SHALLOW bytes, then a blind trie for each group
    that is still tied. Common-prefix lengths of neighbours on both sides tell exactly which
    strings of a fragment occur in another one.
-3. A seed with more than HOT different fragments isn't gathered: its strings are counted by
-   128-bit hash instead, a row each, wherever they are.
+3. A seed with more than HOT different fragments is dealt further before it is sorted: by ranges
+   of offsets and the bytes that all strings of a range share, ever narrower ones until a group
+   is small enough or its fragments share a whole string.
 4. Every document reads the results for its fragments and drops the covered bytes.
 
 Edge cases: a null text is empty; texts shorter than `length` lose nothing; repeated rows are
@@ -207,12 +208,16 @@ def deep_shallow(rows: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray,
     return order, common
 
 
-def shared_strings(left: list[bytes], right: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int]]:
-    """(fragment, first, last): the runs of string offsets (bytes before the anchor) that occur in another fragment too.
+def shared_strings(left: list[bytes], right: list[bytes], length: int = LENGTH, lowest: int = 0, highest: int | None = None, group: list | None = None) -> list[tuple[int, int, int]]:
+    """(fragment, first, last): the runs of string offsets (bytes before the anchor, lowest to highest) that occur in another fragment too.
 
-    left holds the bytes before the anchor, right those from it on; the fragments differ, and share nothing but equal seeds."""
+    left holds the bytes before the anchor, right those from it on; the fragments differ. Those of different groups have nothing to do
+    with each other, though they are sorted together."""
     m = len(left)
-    back, ahead = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    back, ahead = np.array([len(x) for x in left], np.int64), np.array([len(x) for x in right], np.int64)
+    highest = length if highest is None else highest
+    kinds: dict = {}
+    of = np.array([kinds.setdefault(k, len(kinds)) for k in group], np.int64) if group is not None else np.zeros(m, np.int64)
 
     def matrix(texts: list[bytes], width: int, reverse: bool) -> np.ndarray:
         out = np.zeros((m, width), np.uint8)
@@ -224,14 +229,14 @@ def shared_strings(left: list[bytes], right: list[bytes], length: int = LENGTH)
     right_order, right_common = deep_shallow(matrix(right, length, False))
     left_order, left_common = deep_shallow(matrix(left, length, True))
     hit = np.zeros((m, length), bool)
-    for o in range(int(back.max(initial=0)) + 1):
+    for o in range(lowest, min(int(back.max(initial=0)), highest) + 1):
         valid = np.flatnonzero((back >= o) & (ahead >= length - o))
         if len(valid) < 2:
             continue
         run_right, run_left = np.empty(m, np.int64), np.empty(m, np.int64)
         run_right[right_order] = np.cumsum(right_common < length - o)
         run_left[left_order] = np.cumsum(left_common < o)
-        keys = run_right[valid] * (m + 1) + run_left[valid]
+        keys = (of[valid] * (m + 1) + run_right[valid]) * (m + 1) + run_left[valid]
         order = np.argsort(keys)
         same = keys[order][1:] == keys[order][:-1]
         hit[valid[order[1:][same]], o] = True
@@ -243,6 +248,73 @@ def shared_strings(left: list[bytes], right: list[bytes], length: int = LENGTH)
 
 
 # ---------------------------------------------------------------- the operator
+#: Offsets that strings of one group of a very common seed may have, from step to step.
+WIDTHS = (57, 19, 6, 2, 1)
+
+
+def _split_hot(texts: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Groups of at most `hot` fragments from seeds with more of them, and the runs of strings that need no sorting.
+
+    Equal strings whose anchor stands a to b bytes behind their start share a core, the a bytes before it and the length - b from
+    it on. So the fragments of a seed are dealt by ranges of offsets and the core of each; what is still too large is dealt by
+    narrower ranges, whose cores are longer, until a core is a string of its own and its holders are known to repeat it."""
+    spark = texts.sparkSession
+    none = texts.limit(0).select(F.col("g").alias("key"), F.lit(0).alias("a"), F.lit(0).alias("b"), "g", "f", "left", "right")
+    done, at_once = none, none.select("g", "f", F.col("a").alias("first"), F.col("b").alias("last"))
+    left = texts.select("g", "f", "left", "right", F.lit(0).alias("a"), F.lit(length - SEED).alias("b"))
+    if not left.limit(1).count():
+        return done, at_once
+    for width in WIDTHS:
+        begin = F.explode(F.sequence(F.col("a"), F.col("b"), F.lit(width)))
+        each = left.withColumn("begin", begin).withColumn("end", F.least(F.col("begin") + width - 1, F.col("b")))
+        fits = (F.octet_length("left") >= F.col("begin")) & (F.octet_length("right") >= length - F.col("end"))
+        core = ("g", "begin", F.substring("left", F.octet_length("left") - F.col("begin") + 1, F.col("begin")), F.substring("right", F.lit(1), length - F.col("end")))
+        # sorting tells apart what only shares a hash; where nothing is sorted any more, 128 bits do
+        again = F.xxhash64(F.lit(2), *core) if width == 1 else F.lit(0).cast("long")
+        each = written(each.where(fits).select(F.xxhash64(*core).alias("key"), again.alias("again"), F.col("begin").alias("a"), F.col("end").alias("b"), "g", "f", "left", "right"), f"cores{width}")
+        sized = each.join(each.groupBy("key", "again").agg(F.count("*").alias("m")).where("m > 1"), ["key", "again"]).drop("again")
+        if width == 1:
+            return done, sized.select("g", "f", F.col("a").alias("first"), F.col("b").alias("last"))
+        done = done.unionByName(sized.where(F.col("m") <= hot).drop("m"))
+        left = written(sized.where(F.col("m") > hot).select("g", "f", "left", "right", "a", "b"), f"left{width}")
+        release(spark)
+        if not left.limit(1).count():
+            break
+    return done, at_once
+
+
+def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
+    """g, f, first, last: what shared_strings finds in every group (key, a, b) of fragments."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # whole groups only, as rows come in order of the key
+
+        def done(some: list[tuple]) -> pa.RecordBatch:
+            out: list[tuple] = []
+            for (a, b), part in _by_range(some):
+                out += [(part[i][3], part[i][4], x, y) for i, x, y in shared_strings([r[5] for r in part], [r[6] for r in part], length, a, b, [r[0] for r in part])]
+            g, f, x, y = zip(*out, strict=True) if out else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(f, pa.int64()), pa.array(x, pa.int32()), pa.array(y, pa.int32())], names=["g", "f", "first", "last"])
+
+        for batch in batches:
+            held += zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "g", "f", "left", "right")), strict=True)
+            if len(held) > 20_000 and held[0][0] != held[-1][0]:
+                cut = next(i for i in range(len(held) - 1, -1, -1) if held[i][0] != held[-1][0]) + 1
+                yield done(held[:cut])
+                held = held[cut:]
+        yield done(held)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "g long, f long, first int, last int")
+
+
+def _by_range(rows: list[tuple]) -> list[tuple[tuple[int, int], list[tuple]]]:
+    """Rows by their ranges of offsets."""
+    out: dict[tuple[int, int], list[tuple]] = {}
+    for r in rows:
+        out.setdefault((r[1], r[2]), []).append(r)
+    return list(out.items())
+
+
 def repeated(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """k1, k2, begin, end: covered byte ranges of every document (they may overlap)."""
     spark = docs.sparkSession
@@ -266,33 +338,11 @@ def repeated(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text
     )
     texts = bodies.select("t", F.explode("cuts").alias("c")).select(piece.alias("p")).select("p.*")
 
-    def sort_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # whole seeds only, as rows come in order of g
-
-        def done(rows: list[tuple]) -> pa.RecordBatch:
-            out = [(rows[i][0], rows[i][1], a, b) for i, a, b in shared_strings([r[2] for r in rows], [r[3] for r in rows], length)] if rows else []
-            g, f, a, b = zip(*out, strict=True) if out else ((), (), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(f, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["g", "f", "first", "last"])
-
-        for batch in batches:
-            held += zip(*(batch.column(c).to_pylist() for c in ("g", "f", "left", "right")), strict=True)
-            if len(held) > 20_000 and held[0][0] != held[-1][0]:
-                cut = next(i for i in range(len(held) - 1, -1, -1) if held[i][0] != held[-1][0]) + 1
-                yield done(held[:cut])
-                held = held[cut:]
-        yield done(held)
-
-    ordered = texts.where(F.col("m") <= hot).select("g", "f", "left", "right").repartition("g").sortWithinPartitions("g")
-    partial = ordered.mapInArrow(sort_groups, "g long, f long, first int, last int")
-
-    # very common seeds: one row a string, counted by hash
-    whole = F.concat("left", "right")
-    back, ahead = F.octet_length("left"), F.octet_length("right")
-    offsets = F.sequence(F.greatest(length - ahead, F.lit(0)), back)
-    strings = texts.where(F.col("m") > hot).select("g", "f", back.alias("back"), whole.alias("w"), F.explode(offsets).alias("o"))
-    strings = strings.withColumn("s", F.substring("w", F.col("back") - F.col("o") + 1, F.lit(length))).select("g", "f", "o", F.xxhash64("s", F.lit(1)).alias("a"), F.xxhash64(F.lit(2), "s").alias("b"))
-    twice = strings.groupBy("g", "o", "a", "b").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    common = strings.join(twice, ["g", "o", "a", "b"]).select("g", "f", F.col("o").cast("int").alias("first"), F.col("o").cast("int").alias("last"))
+    texts = written(texts, "texts")
+    release(spark)
+    easy = texts.where(F.col("m") <= hot).select(F.col("g").alias("key"), F.lit(0).alias("a"), F.lit(length - SEED).alias("b"), "g", "f", "left", "right")
+    split, common = _split_hot(texts.where(F.col("m") > hot), length, hot)
+    partial = _sorted_groups(easy.unionByName(split), length)
 
     ranges = partial.unionByName(common).groupBy("g", "f").agg(F.collect_list(F.struct("first", "last")).alias("some"))
     whole_ones = counted.where("n > 1").select("g", "f", F.lit(None).cast("array<struct<first:int,last:int>>").alias("some"))

@@ -73,3 +73,18 @@ def test_deep_shallow_sorts():
     assert ordered == sorted(ordered)
     for a, b, n in zip(ordered, ordered[1:], common[1:], strict=False):
         assert n == next((i for i in range(70) if a[i] != b[i]), 70)
+
+
+def test_a_seed_with_very_many_surroundings(spark):
+    """A line that thousands of documents hold, each with something else around it: its seeds are dealt by what stands around them."""
+    draw = random.Random(3)
+    line = "This licence line is in every document, whatever else it says; it is longer than a hundred and fifty bytes, so that strings of two hundred reach into what differs around it. "
+    noise = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    tails = [noise(40) for _ in range(30)]
+    texts = [noise(80) + line + draw.choice(tails) + noise(60) for _ in range(1500)]
+    raw = [t.encode() for t in texts]
+    want = [int(m.sum()) for m in brute(raw)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    for hot in (s.HOT, 64):
+        got = {r.doc_id: sum(b - a for a, b in r.spans) for r in s.deduplicated(docs, hot=hot).collect()}
+        assert [got[i] for i in range(len(texts))] == want and sum(want) > 100_000
