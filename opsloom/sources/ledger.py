@@ -35,6 +35,11 @@ def unglued(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"\}\s*(?=\{\"seq\":)", "}\n"), "\n")
 
 
+def named(text: Column) -> Column:
+    """The seq that a line begins with, of a torn line too; null where its digits may have been torn."""
+    return F.regexp_extract(text, r"^\s*\{\s*\"seq\"\s*:\s*(\d+)\s*,", 1).try_cast("long")
+
+
 def decoded(rows: DataFrame, schema: str = RECORD) -> DataFrame:
     """rows with `r`, the decoded record, and `state`: ok, blank, torn, corrupt or newer (a schema that isn't known yet)."""
     each = rows.withColumn("text", F.explode(unglued(F.col("text")))).withColumn("r", F.from_json("text", schema))

@@ -5,6 +5,8 @@ import re
 
 import pytest
 from opsloom.plans import catalog, stream_queries
+from opsloom.sources.ledger import named
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,3 +87,19 @@ def test_all_terms(spark):
     key = lambda r: tuple(map(str, r))
     assert sorted(rows(spark, "d51_terms"), key=key) == sorted(want, key=key)
     assert any(t.count(",") == 2 for _, _, t in want)
+
+
+def test_seqs_beyond_a_million(spark, tmp_path):
+    """Every kind of damage: what the log can't name is there too, and so is the second of two glued records."""
+    at = [dt.datetime(2024, 1, day) for day in (3, 4)]
+    events = [(n, ts, 1, "error", 1.0, f'{{"k": {k}}}') for ts in at for n, k in ((1_000_000 + 100 * ts.day + k, k) for k in (0, 3, 5, 7, 9, 11, 63))]
+    events += [(20, at[0], 1, "error", 1.0, '{"k": 9}'), (21, at[0], 1, "error", 1.0, '{"k": 3}'), (22, at[0], 1, "error", 1.0, '{"k": 11}')]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    want = []
+    for n, ts, *_, props in events:
+        k = int(re.search(r"\d+", props)[0])
+        seqs = [s for s in ([n + 1, n + 1_000_001] if k % 20 == 11 else [n + 1]) if s > 1_000_000]
+        want += [(f"{ts:%Y-%m-%d}.g{g}.p0001.jsonl", s) for g in range(2 if ts.day % 2 == 0 and k >= 50 else 1) for s in seqs]
+    assert sorted(rows(spark, "a13_glued_records", str(tmp_path))) == sorted(want)
+    line = spark.createDataFrame([('{"seq":1234567,"rec_id":"r',), ('{"seq":12',), ('{ "seq": 7 , "k',), (" ",)], "text string")
+    assert [r[0] for r in line.select(named(F.col("text"))).collect()] == [1234567, None, 7, None]
