@@ -153,7 +153,8 @@ class Rolling:
     def __init__(self, data: np.ndarray):
         n = len(data)
         self.prefix = np.zeros(n + 1, _U64)
-        np.multiply(_BYTE[data], powers(_K, n)[:n], out=self.prefix[1:])
+        np.take(_BYTE, data, out=self.prefix[1:], mode="clip")  # in place: no mode but this one writes without a buffer
+        self.prefix[1:] *= powers(_K, n)[:n]
         np.cumsum(self.prefix[1:], out=self.prefix[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

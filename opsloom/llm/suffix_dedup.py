@@ -37,6 +37,8 @@ from .common import Ranges, Rolling, bound_batches, dropped, flat, mix, pieces,
 from .sentence_spans import doc_key
 
 LENGTH, SEED, SHALLOW, HOT = 200, 32, 32, 4096
+#: Places whose anchors are looked for at a time; places of one block fit the low bits.
+BLOCK = 1 << 17
 _LOW = np.uint64((1 << 22) - 1)
 _FOUND = "g long, f long, k1 long, k2 long, at long, back int, ahead int"
 
@@ -52,6 +54,12 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
+def _joined(low: np.ndarray, high: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of string starts, where neighbours that follow each other with one anchor in one document become one."""
+    cut = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (low[1:] != high[:-1] + 1))
+    return low[cut], high[np.append(np.flatnonzero(cut)[1:] - 1, len(low) - 1)], anchor[cut], doc[cut]
+
+
 def fragments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
     """Anchors of all strings of `length` bytes: doc, at (bytes from the document's start), back and ahead
     (bytes of the fragment before and from the anchor on), g and f (hashes of seed and fragment)."""
@@ -60,16 +68,11 @@ def fragments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: in
     if not len(long_ones):
         return none
     hashed, parts = Rolling(data), []
-    step = int(_LOW) + 1 - length  # places of one sliding minimum fit 22 bits
-    seed_start = np.arange(len(data) - SEED + 1)
-    seed_hash = hashed(seed_start, seed_start + SEED)
     lows, highs = starts[long_ones], ends[long_ones] - length + 1  # string starts [low, high)
-    for begin in range(0, len(data), step):
-        end = min(begin + step, len(data) - length + 1)
-        if end <= begin:
-            break
-        here = seed_hash[begin : end + length - SEED]
-        packed = (here & ~_LOW) | np.arange(len(here), dtype=np.uint64)
+    for begin in range(0, len(data) - length + 1, BLOCK):  # a block at a time, as each byte needs some hundred bytes on the way
+        end = min(begin + BLOCK, len(data) - length + 1)
+        seeds = np.arange(begin, end + length - SEED)
+        packed = (hashed(seeds, seeds + SEED) & ~_LOW) | (seeds - begin).astype(np.uint64)
         anchor = (_sliding_min(packed, length - SEED + 1) & _LOW).astype(np.int64) + begin
         edge = np.zeros(end - begin + 1, np.int64)
         inside = (lows < end) & (highs > begin)
@@ -77,15 +80,12 @@ def fragments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: in
         np.add.at(edge, np.minimum(highs[inside], end) - begin, -1)
         place = np.flatnonzero(np.cumsum(edge)[:-1] > 0) + begin
         if len(place):
-            parts.append((place, anchor[place - begin]))
-    place, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
-    doc = np.searchsorted(starts, place, "right") - 1
-    cut = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1))
-    low, high = place[cut], place[np.append(np.flatnonzero(cut)[1:] - 1, len(place) - 1)]
-    anchor, doc = anchor[cut], doc[cut]
+            anchor, doc = anchor[place - begin], np.searchsorted(starts, place, "right") - 1
+            parts.append(_joined(place, place, anchor, doc))
+    low, high, anchor, doc = _joined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
     return {
         "doc": doc, "at": anchor - starts[doc], "back": anchor - low, "ahead": high + length - anchor,
-        "g": seed_hash[anchor].view(np.int64), "f": mix(Ranges(data)(low, high + length) + (anchor - low).astype(np.uint64)).view(np.int64),
+        "g": hashed(anchor, anchor + SEED).view(np.int64), "f": mix(Ranges(data)(low, high + length) + (anchor - low).astype(np.uint64)).view(np.int64),
     }
 
 

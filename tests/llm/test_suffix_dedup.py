@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -88,3 +89,22 @@ def test_a_seed_with_very_many_surroundings(spark):
     for hot in (s.HOT, 64):
         got = {r.doc_id: sum(b - a for a, b in r.spans) for r in s.deduplicated(docs, hot=hot).collect()}
         assert [got[i] for i in range(len(texts))] == want and sum(want) > 100_000
+
+
+def test_memory_of_a_batch(monkeypatch):
+    """A batch is cut into blocks: they change no fragment, and four million bytes take less than 200 MB at once."""
+    draw = np.random.default_rng(3)
+    data = draw.choice(np.frombuffer(b"abcdefgh \n", np.uint8), 4 << 20)
+    at = np.sort(np.append(draw.integers(0, len(data), 900), [0, 500, 1000]))
+    starts, ends = at, np.append(at[1:], len(data))
+    tracemalloc.start()
+    whole = s.fragments(data, starts, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6, peak
+    cut = slice(0, 60)
+    some = s.fragments(data[: ends[59]], starts[cut], ends[cut])
+    monkeypatch.setattr(s, "BLOCK", 777)
+    blocks = s.fragments(data[: ends[59]], starts[cut], ends[cut])
+    for name in some:
+        assert (some[name] == blocks[name]).all() and (some[name] == whole[name][whole["doc"] < 60]).all(), name
