@@ -1,7 +1,9 @@
 """Window operators that are cut into chunks or bins give what one window would."""
 
+import datetime as dt
 import random
 
+import pytest
 from opsloom.operators import desk, verify, windows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -39,3 +41,22 @@ def test_unexplained_holes_of_any_bin(spark):
     spans = spark.createDataFrame([(1, 5), (7, 8), (20, 30), (90, 150), (390, 1000)], "first_seq long, last_seq long")
     for size in (1, 64, 10**6):
         assert sorted(map(tuple, verify.unexplained_holes(holes, spans, size).collect())) == [(5, 9, 2), (100, 400, 239)]
+
+
+def _intervals(spark, monkeypatch):
+    draw, base = random.Random(5), dt.datetime(2024, 1, 1)
+    moment = lambda: base + dt.timedelta(minutes=draw.randrange(3000))
+    w = [(f"w{i}", a, a + dt.timedelta(minutes=draw.choice([0, 5, 60, 300, 1500]))) for i, a in enumerate(moment() for _ in range(150))]
+    g = [(f"g{i}", a, a + dt.timedelta(minutes=draw.choice([0, 1, 60, 700]))) for i, a in enumerate(moment() for _ in range(150))]
+    monkeypatch.setattr(verify, "CHUNKS", (4, 8), raising=False)
+    return w, g, spark.createDataFrame(w, "wid string, start_ts timestamp, end_ts timestamp"), spark.createDataFrame(g, "gid string, from_ts timestamp, to_ts timestamp")
+
+
+@pytest.mark.parametrize("seconds", [600, 3600, 86_400])
+def test_overlapping_deals_pairs_of_arrays(spark, monkeypatch, seconds):
+    """Pairs are dealt out evenly before they are taken apart, whatever the sizes of the bins."""
+    w, g, windows, gaps = _intervals(spark, monkeypatch)
+    met = verify.overlapping(windows, gaps, seconds)
+    got = [(r.wid, r.gid) for r in met.collect()]
+    assert sorted(got) == sorted((i, j) for i, a, b in w for j, x, y in g if y >= a and x <= b)
+    assert "REPARTITION_BY_NUM" in met._jdf.queryExecution().toString()
