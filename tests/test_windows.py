@@ -5,6 +5,7 @@ import random
 
 import pytest
 from opsloom.operators import desk, verify, windows
+from opsloom.plans import catalog
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -60,3 +61,18 @@ def test_overlapping_deals_pairs_of_arrays(spark, monkeypatch, seconds):
     got = [(r.wid, r.gid) for r in met.collect()]
     assert sorted(got) == sorted((i, j) for i, a, b in w for j, x, y in g if y >= a and x <= b)
     assert "REPARTITION_BY_NUM" in met._jdf.queryExecution().toString()
+
+
+def test_counts_make_no_pairs(spark, monkeypatch):
+    w, g, windows, gaps = _intervals(spark, monkeypatch)
+    counted = verify.gaps_in(windows, gaps, 3600)
+    assert {r.wid: r.gaps for r in counted.collect()} == {i: sum(y >= a and x <= b for _, x, y in g) for i, a, b in w}
+    records = gaps.select(F.lit("k").alias("k"), F.col("from_ts").alias("ts"))
+    keyed = windows.withColumn("k", F.when(F.col("wid") != "w3", "k"))
+    at = [x for _, x, _ in g]
+    for half_open, open_start in ((False, False), (True, False), (False, True)):
+        found = verify.events_in(keyed, records, "k", half_open, 3600, open_start)
+        inside = lambda a, b: sum((a < x if open_start else a <= x) and (x < b if half_open else x <= b) for x in at)  # noqa: B023, E731
+        assert {r.wid: r.events for r in found.collect()} == {i: 0 if i == "w3" else inside(a, b) for i, a, b in w}
+    plan = catalog.queries()["f44_verdicts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Join Inner" not in plan
