@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, redact, signature, subjects, textnorm
 from ..sources import envelopes
-from .catalog import query, table
+from .catalog import query, spread, table
 from .stream_queries import R, records
 
 _SIG = "'psi:sha256v1:' || substr(sha256('psi' || chr(31) || trim(n_name) || chr(31) || n_regionkey || chr(30)), 1, 16)"
@@ -464,7 +464,8 @@ def group_spans(spark, d):
 @query("d59_long_values", "SELECT o_orderkey, 'token=[REDACTED:env_assign] end' AS text, 1 AS redactions FROM orders")
 def long_values(spark, d):
     """Values of thousands of characters go whole."""
-    return _redacted(spark, d, F.concat(F.lit("token="), F.repeat(_n(), 3000), F.lit(" end")))
+    keys = spread(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return redact.scrub(keys.select("o_orderkey", F.concat(F.lit("token="), F.repeat(_n(), 3000), F.lit(" end")).alias("text")), "text").select("o_orderkey", "text", "redactions")
 
 
 @query("d60_key_blocks", "SELECT o_orderkey, 'a ' || o_orderkey || chr(10) || '[REDACTED:private_key_block]' || chr(10) || 'b' AS text, 1 AS redactions FROM orders")

@@ -4,6 +4,7 @@ import datetime as dt
 import re
 
 import pytest
+from opsloom.functions import redact
 from opsloom.plans import catalog, stream_queries
 from opsloom.sources.ledger import named
 from pyspark.sql import functions as F
@@ -103,3 +104,17 @@ def test_seqs_beyond_a_million(spark, tmp_path):
     assert sorted(rows(spark, "a13_glued_records", str(tmp_path))) == sorted(want)
     line = spark.createDataFrame([('{"seq":1234567,"rec_id":"r',), ('{"seq":12',), ('{ "seq": 7 , "k',), (" ",)], "text string")
     assert [r[0] for r in line.select(named(F.col("text"))).collect()] == [1234567, None, 7, None]
+
+
+@pytest.mark.parametrize("name", ["d59_long_values", "d89_stack_round_trip"])
+def test_long_work_is_spread(spark, name):
+    """A narrow table's one file is dealt to all cores before what takes long for a row."""
+    assert "REPARTITION_BY_NUM" in catalog.queries()[name](spark, SF)._jdf.queryExecution().toString()
+
+
+def test_yields_are_tried_only_where_they_may_match(monkeypatch):
+    tried, spans = [], redact.Rule.spans
+    monkeypatch.setattr(redact.Rule, "spans", lambda self, text, settings: tried.append(self.name) or spans(self, text, settings))
+    text, found = redact.redact("token=" + "123456" * 3000 + " end", redact.rules())
+    assert text == "token=[REDACTED:env_assign] end" and found == {"env_assign": 1}
+    assert "cli_flag_secret" not in tried
