@@ -414,9 +414,11 @@ def frames_of_lines(spark, d):
 def stack_round_trip(spark, d):
     """Rendered, parsed and rendered again: the lines stay the same."""
     lines = F.slice(textnorm.frame_lines(frames(F.col("p_size"))), 1, F.least(F.col("p_size"), F.lit(8)))
-    parsed = F.transform(F.split(textnorm.stack_text(lines), "\n", -1), textnorm.frame_of_line)
-    again = F.transform(parsed, lambda f: F.concat_ws("|", F.when(f["in_app"], "app").otherwise("lib"), f["module"], f["function"], f["filename"], F.lit("LINE"), f["context_line"]))
-    return table(spark, d, "part").select("p_partkey", F.size(parsed).alias("frames"), (again == lines).alias("same"))
+    # a column for each step: written into one expression, every step would run again for each use of it
+    rows = spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", lines.alias("lines"))
+    rows = rows.withColumn("parsed", F.transform(F.split(textnorm.stack_text(F.col("lines")), "\n", -1), textnorm.frame_of_line))
+    again = F.transform("parsed", lambda f: F.concat_ws("|", F.when(f["in_app"], "app").otherwise("lib"), f["module"], f["function"], f["filename"], F.lit("LINE"), f["context_line"]))
+    return rows.select("p_partkey", F.size("parsed").alias("frames"), (again == F.col("lines")).alias("same"))
 
 
 @query("d20_fingerprints", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN 'mine' || chr(10) || 'x-dflt-y' ELSE 'only' END AS fingerprint FROM part")
