@@ -54,10 +54,10 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def _joined(low: np.ndarray, high: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of string starts, where neighbours that follow each other with one anchor in one document become one."""
+def _joined(low: np.ndarray, high: np.ndarray, anchor: np.ndarray, doc: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of string starts, where neighbours that follow each other with one anchor (whose hash is g) in one document become one."""
     cut = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (low[1:] != high[:-1] + 1))
-    return low[cut], high[np.append(np.flatnonzero(cut)[1:] - 1, len(low) - 1)], anchor[cut], doc[cut]
+    return low[cut], high[np.append(np.flatnonzero(cut)[1:] - 1, len(low) - 1)], anchor[cut], doc[cut], g[cut]
 
 
 def fragments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
@@ -67,13 +67,14 @@ def fragments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: in
     long_ones = np.flatnonzero(ends - starts >= length)
     if not len(long_ones):
         return none
-    hashed, parts = Rolling(data), []
+    parts = []
     lows, highs = starts[long_ones], ends[long_ones] - length + 1  # string starts [low, high)
-    for begin in range(0, len(data) - length + 1, BLOCK):  # a block at a time, as each byte needs some hundred bytes on the way
+    for begin in range(0, len(data) - length + 1, BLOCK):  # a block at a time, hashes included, as each byte needs some hundred bytes on the way
         end = min(begin + BLOCK, len(data) - length + 1)
-        seeds = np.arange(begin, end + length - SEED)
-        packed = (hashed(seeds, seeds + SEED) & ~_LOW) | (seeds - begin).astype(np.uint64)
-        anchor = (_sliding_min(packed, length - SEED + 1) & _LOW).astype(np.int64) + begin
+        seeds = np.arange(end - begin + length - SEED)
+        seed_hash = Rolling(data[begin : end + length - 1])(seeds, seeds + SEED)
+        packed = (seed_hash & ~_LOW) | seeds.astype(np.uint64)
+        anchor = (_sliding_min(packed, length - SEED + 1) & _LOW).astype(np.int64)
         edge = np.zeros(end - begin + 1, np.int64)
         inside = (lows < end) & (highs > begin)
         np.add.at(edge, np.maximum(lows[inside], begin) - begin, 1)
@@ -81,11 +82,11 @@ def fragments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: in
         place = np.flatnonzero(np.cumsum(edge)[:-1] > 0) + begin
         if len(place):
             anchor, doc = anchor[place - begin], np.searchsorted(starts, place, "right") - 1
-            parts.append(_joined(place, place, anchor, doc))
-    low, high, anchor, doc = _joined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            parts.append(_joined(place, place, anchor + begin, doc, seed_hash[anchor]))
+    low, high, anchor, doc, g = _joined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
     return {
         "doc": doc, "at": anchor - starts[doc], "back": anchor - low, "ahead": high + length - anchor,
-        "g": hashed(anchor, anchor + SEED).view(np.int64), "f": mix(Ranges(data)(low, high + length) + (anchor - low).astype(np.uint64)).view(np.int64),
+        "g": g.view(np.int64), "f": mix(Ranges(data)(low, high + length) + (anchor - low).astype(np.uint64)).view(np.int64),
     }
 
 

@@ -4,6 +4,7 @@ import tracemalloc
 import numpy as np
 import pytest
 from opsloom.llm import suffix_dedup as s
+from opsloom.llm.common import Rolling
 
 
 def brute(texts, length=200):
@@ -108,3 +109,22 @@ def test_memory_of_a_batch(monkeypatch):
     blocks = s.fragments(data[: ends[59]], starts[cut], ends[cut])
     for name in some:
         assert (some[name] == blocks[name]).all() and (some[name] == whole[name][whole["doc"] < 60]).all(), name
+
+
+def test_memory_of_a_long_text(monkeypatch):
+    """Hashes too are made a block at a time: a text that fills a batch by itself takes a few bytes a byte, and hashes tell nothing of its blocks."""
+    draw = np.random.default_rng(4)
+    data = draw.choice(np.frombuffer(b"abcdefgh \n", np.uint8), 8 << 20)
+    tracemalloc.start()
+    whole = s.fragments(data, np.zeros(1, np.int64), np.array([len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6, peak
+    assert (whole["g"].view(np.uint64) == Rolling(data)(whole["at"], whole["at"] + s.SEED)).all()
+    text = np.tile(data[:5000], 3)
+    few = s.fragments(text, np.zeros(1, np.int64), np.array([len(text)]))
+    monkeypatch.setattr(s, "BLOCK", 301)
+    blocks = s.fragments(text, np.zeros(1, np.int64), np.array([len(text)]))
+    for name in few:
+        assert (few[name] == blocks[name]).all(), name
+    assert len(np.unique(few["f"])) < len(few["f"]) / 2
