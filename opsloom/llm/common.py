@@ -161,6 +161,12 @@ class Rolling:
         h = (self.prefix[end] - self.prefix[start]) * powers(_KINV, len(self.prefix))[start]
         return mix(h + (end - start).astype(_U64) * _U64(0xD6E8FEB86659FD93))
 
+    def each(self, width: int) -> np.ndarray:
+        """Of every range of this width, in order."""
+        n = len(self.prefix) - width
+        h = (self.prefix[width:] - self.prefix[:n]) * powers(_KINV, len(self.prefix))[:n]
+        return mix(h + _U64(width * 0xD6E8FEB86659FD93 % 2**64))
+
 
 #: Bytes of a range from which xxh3 hashes it by itself instead of all ranges eight bytes at a time.
 _LONG = 256

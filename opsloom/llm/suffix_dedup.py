@@ -71,9 +71,8 @@ def fragments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: in
     lows, highs = starts[long_ones], ends[long_ones] - length + 1  # string starts [low, high)
     for begin in range(0, len(data) - length + 1, BLOCK):  # a block at a time, hashes included, as each byte needs some hundred bytes on the way
         end = min(begin + BLOCK, len(data) - length + 1)
-        seeds = np.arange(end - begin + length - SEED)
-        seed_hash = Rolling(data[begin : end + length - 1])(seeds, seeds + SEED)
-        packed = (seed_hash & ~_LOW) | seeds.astype(np.uint64)
+        seed_hash = Rolling(data[begin : end + length - 1]).each(SEED)
+        packed = (seed_hash & ~_LOW) | np.arange(len(seed_hash), dtype=np.uint64)
         anchor = (_sliding_min(packed, length - SEED + 1) & _LOW).astype(np.int64)
         edge = np.zeros(end - begin + 1, np.int64)
         inside = (lows < end) & (highs > begin)
