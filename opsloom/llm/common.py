@@ -22,6 +22,8 @@ from ..shipping import ship
 #: Rows and bytes of one Arrow batch: with these a worker needs about 150 MB.
 BATCH_ROWS = 1000
 BATCH_BYTES = 4 << 20
+#: Rows of one batch of Spark's Parquet reader, which keeps all their texts in an array that doubles as it grows.
+SCAN_ROWS = 256
 
 _U64 = np.uint64
 
@@ -33,6 +35,12 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def bound_scans(spark: SparkSession, rows: int = SCAN_ROWS) -> None:
+    """Bound how many whole texts a Parquet scan of this session holds at once; Spark's own 4,096 may be half a gigabyte a task."""
+    setting = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.set(setting, str(min(rows, int(spark.conf.get(setting)))))
+
+
 # ---------------------------------------------------------------- scratch tables
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (local mode)."""

@@ -1,7 +1,13 @@
 import hashlib
+import os
 import re
+import subprocess
+import sys
 from datetime import date
+from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from opsloom.llm import pii
 from pyspark.sql import functions as F
 
@@ -153,3 +159,24 @@ def test_the_secret_is_not_shown(spark):
     out = pii.pseudonymised(spark.createDataFrame([(1, "10.0.0.1")], "doc_id long, text string"), "hunter2hunter2")
     shown = spark.sparkContext._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "extended")
     assert "hunter2" not in shown and not re.search("pii-[0-9a-f]{64}", shown)
+
+
+SMALL_HEAP = """
+import sys
+
+from opsloom.llm import pii
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+out = pii.pseudonymised(spark.read.parquet(sys.argv[1]), "secret", found="kinds")
+print("got", *out.agg(F.count("*"), F.min(F.length("text")), F.sum(F.size("kinds"))).first())
+"""
+
+
+def test_long_texts_need_no_large_heap(tmp_path):
+    """1,500 texts of 120,000 characters in one row group; a reader that keeps them all needs an array of 180 MB or more and one to copy into it."""
+    pq.write_table(pa.table({"doc_id": list(range(1500)), "text": ["word " * 24_000] * 1499 + ["word " * 24_000 + "10.0.0.1"]}), tmp_path / "docs.parquet", use_dictionary=False, compression="zstd")
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 520m pyspark-shell", "PYTHONPATH": str(Path(__file__).resolve().parents[2])}
+    done = subprocess.run([sys.executable, "-c", SMALL_HEAP, str(tmp_path / "docs.parquet")], env=env, capture_output=True, text=True, timeout=300)
+    assert "got 1500 120000 1" in done.stdout, re.findall(".*OutOfMemory.*", done.stderr)[:1] or done.stderr[-2000:]
