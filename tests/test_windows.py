@@ -63,6 +63,40 @@ def test_overlapping_deals_pairs_of_arrays(spark, monkeypatch, seconds):
     assert "REPARTITION_BY_NUM" in met._jdf.queryExecution().toString()
 
 
+def _shuffled(spark):
+    """Bytes that all stages so far have written for exchanges."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_overlapping_exchanges_rows_not_pairs(spark, monkeypatch):
+    """What is exchanged follows the rows, not the pairs, and a task holds few pairs at once though a place has many."""
+    monkeypatch.setattr(verify, "CHUNKS", (4, 8))
+    at = F.timestamp_seconds(F.col("id") % 3000)
+    windows = spark.range(1500).select(F.concat(F.lit("w"), "id").alias("wid"), at.alias("start_ts"), (at + F.expr("interval 2 days")).alias("end_ts"))
+    gaps = spark.range(1500).select(F.concat(F.lit("g"), "id").alias("gid"), (at + F.expr("interval 1 hour")).alias("from_ts"), (at + F.expr("interval 2 hours")).alias("to_ts"))
+    met, before = verify.overlapping(windows, gaps), _shuffled(spark)
+    assert met.agg(F.count("*").alias("n"), F.count_distinct("wid", "gid").alias("m")).head()[:] == (1500**2, 1500**2)
+    counted = _shuffled(spark) - before
+    met.write.format("noop").mode("overwrite").save()
+    assert (n := _shuffled(spark) - before - counted) < 2_000_000, n
+    met.collect()
+    lines = [x.strip(" :+-") for x in met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()]
+    last = next(x for x in lines if "Join" in x)
+    assert last.startswith("SortMergeJoin"), last  # compiled operators begin with *(n)
+
+
+def test_overlapping_as_sql_on_odd_intervals(spark):
+    t = lambda h: None if h is None else dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    ends = [(0, 5), (0, 5), (5, 0), (3, 3), (None, 4), (4, None), (-20, 900), (900, -20), (5, 6), (2, 700), (7, 7)]
+    w, g = ([(None if i == 9 else i, t(a), t(b)) for i, (a, b) in enumerate(ends)] for _ in "wg")
+    met = verify.overlapping(spark.createDataFrame(w, "wid long, start_ts timestamp, end_ts timestamp"), spark.createDataFrame(g, "gid long, from_ts timestamp, to_ts timestamp"), 3600)
+    want = [(i, j) for i, a, b in w for j, x, y in g if None not in (a, b, x, y) and y >= a and x <= b]
+    assert sorted(map(tuple, met.collect()), key=str) == sorted(want, key=str)
+
+
 def test_counts_make_no_pairs(spark, monkeypatch):
     w, g, windows, gaps = _intervals(spark, monkeypatch)
     counted = verify.gaps_in(windows, gaps, 3600)
